@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, packing, quality, secrets, sharding, tokens, warc
+from . import decontaminate, lines, near_dedup, packing, quality, secrets, sharding, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding_digest(_read(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op4_sharding, op5_line_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_minhash_near_dedup, op4_sharding, op5_line_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
 ORACLE_SQL = {"op5_line_dedup": lines.LINES_SQL, "op8_decontamination": decontaminate.DECONTAMINATION_SQL, "op9_warc": warc.WARC_SQL}
