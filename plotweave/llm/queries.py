@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, near_dedup, packing, quality, secrets, sharding, tokens, warc
+from . import decontaminate, lines, near_dedup, packing, quality, secrets, sharding, suffix_dedup, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.lines_digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_minhash_near_dedup, op4_sharding, op5_line_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_minhash_near_dedup, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
 ORACLE_SQL = {"op5_line_dedup": lines.LINES_SQL, "op8_decontamination": decontaminate.DECONTAMINATION_SQL, "op9_warc": warc.WARC_SQL}
