@@ -1,6 +1,6 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from . import cleaning, derived, graphs, linking, profiles, ranks, spatial, statistics, validation  # noqa: F401
+from .register import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
