@@ -1 +1,199 @@
-"""Queries."""
+"""Queries on lattices, neighbours and weights. The SQL beside them compares every pair, so it shares no shortcut with the operators."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators import lattice as lt, near, weights
+from . import inputs
+from .inputs import ME, PT, SG
+from .register import query
+
+EXTENT = 10_010.0
+
+
+def grid(spacing: float = 500.0) -> lt.Lattice:
+    return lt.Lattice(0.0, EXTENT, spacing)
+
+
+def sql_cells(spacing: float = 500.0, name: str = "cells", margin: int = 2) -> str:
+    g = grid(spacing)
+    cols, rows = int(EXTENT / g.step) + margin, int(EXTENT / spacing) + margin
+    return f"{name} AS (SELECT r, c, concat_ws('_', r, c) AS cell, 0.0::DOUBLE + c * {g.step!r}::DOUBLE AS cx, {EXTENT}::DOUBLE - r * {spacing}::DOUBLE - ((c % 2 + 2) % 2) * {spacing / 2}::DOUBLE AS cy FROM (SELECT unnest(range({-margin}, {rows})) AS r), (SELECT unnest(range({-margin}, {cols})) AS c))"
+
+
+def sql_assign(spacing: float = 500.0, tag: str = "") -> str:
+    return f"{sql_cells(spacing, 'cells' + tag)}, a{tag} AS (SELECT id, CASE WHEN n = 1 THEN cell END AS cell FROM (SELECT id, min_by(cell, d) AS cell, count(*) FILTER (d = m) AS n FROM (SELECT id, cell, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d, min((x - cx) * (x - cx) + (y - cy) * (y - cy)) OVER (PARTITION BY id) AS m FROM pt, cells{tag} WHERE abs(x - cx) <= {spacing} AND abs(y - cy) <= {spacing}) GROUP BY id))"
+
+
+@query(f"WITH {PT}, {sql_assign()} SELECT id, cell FROM a")
+def hex_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lt.assign(inputs.points(spark, sf_dir), grid()).select("id", "cell")
+
+
+@query(f"WITH {PT}, {ME}, {sql_assign()}, m AS (SELECT a.cell, pc1, pc2, bc, area FROM a JOIN pt ON pt.id = a.id LEFT JOIN me ON me.addr_key = a.id WHERE cell IS NOT NULL) SELECT i.cell, count(m.cell) AS n, round(avg(pc1), 6) AS pc1, sum(pc2) AS pc2, sum(bc) AS bc, round(avg(area), 6) AS mean, round(median(area), 6) AS median, round(CASE WHEN count(area) >= 3 THEN median(area) END, 6) AS shown FROM cells i LEFT JOIN m ON m.cell = i.cell WHERE cx BETWEEN 0 AND {EXTENT} AND cy BETWEEN 0 AND {EXTENT} GROUP BY i.cell")
+def hex_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = grid().cells(spark, EXTENT, EXTENT)
+    p = lt.assign(inputs.points(spark, sf_dir), grid()).join(inputs.measures(spark, sf_dir).withColumnRenamed("addr_key", "id"), "id", "left")
+    seg = lt.rollup(p, cells, {"pc1": "accessibility", "pc2": "intermediation", "bc": "intermediation"})
+    area = lt.point_rollup(p, cells, "area").drop("n")
+    return seg.join(area, "cell").select("cell", "n", F.round("pc1", 6).alias("pc1"), "pc2", "bc", *(F.round(c, 6).alias(c) for c in ("mean", "median", "shown")))
+
+
+def _sql_cut() -> str:
+    s = 500.0
+    ts, ok = [], []
+    for k, (nx, ny) in enumerate(lt.NORMALS):
+        ts.append(f"(x1 - cx) * {nx!r}::DOUBLE + (y1 - cy) * {ny!r}::DOUBLE AS a{k}, (x2 - x1) * {nx!r}::DOUBLE + (y2 - y1) * {ny!r}::DOUBLE AS b{k}")
+        ok.append(f"(b{k} <> 0 OR abs(a{k}) <= {s / 2})")
+    ins = ", ".join(f"CASE WHEN b{k} <> 0 THEN least(({-s / 2} - a{k}) / b{k}, ({s / 2} - a{k}) / b{k}) ELSE 0.0 END" for k in range(3))
+    outs = ", ".join(f"CASE WHEN b{k} <> 0 THEN greatest(({-s / 2} - a{k}) / b{k}, ({s / 2} - a{k}) / b{k}) ELSE 1.0 END" for k in range(3))
+    return f"{sql_cells(margin=3)}, cut AS (SELECT seg, cell, mass, (o - i) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS part FROM (SELECT *, greatest(0.0, {ins}) AS i, least(1.0, {outs}) AS o FROM (SELECT *, {', '.join(ts)} FROM sg, cells WHERE cx BETWEEN least(x1, x2) - 300 AND greatest(x1, x2) + 300 AND cy BETWEEN least(y1, y2) - 300 AND greatest(y1, y2) + 300) WHERE {' AND '.join(ok)}) WHERE i <= o)"
+
+
+@query(f"WITH {SG}, {_sql_cut()} SELECT seg, cell, round(part, 6) AS part FROM cut")
+def segment_cell_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lt.cut_by_cells(inputs.segments(spark, sf_dir), grid()).select("seg", "cell", F.round("part", 6).alias("part"))
+
+
+@query(f"WITH {SG}, {_sql_cut()} SELECT seg, cell FROM (SELECT seg, cell, row_number() OVER (PARTITION BY seg ORDER BY round(part, 6) DESC, cell) AS k FROM cut) WHERE k = 1")
+def segment_length_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lt.majority_cell(lt.cut_by_cells(inputs.segments(spark, sf_dir), grid()), "seg").select("seg", "cell")
+
+
+@query(f"WITH {SG}, {_sql_cut()}, n AS (SELECT seg, count(*) AS n FROM cut GROUP BY seg) SELECT n AS cells, count(*) AS segments FROM n GROUP BY n")
+def segment_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lt.cut_by_cells(inputs.segments(spark, sf_dir), grid()).groupBy("seg").agg(F.count("*").alias("cells"))
+    return n.groupBy("cells").agg(F.count("*").alias("segments"))
+
+
+@query(f"WITH {SG}, pt AS (SELECT seg AS id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM sg), {sql_assign()} SELECT a.cell, count(*) AS n, sum(mass) AS mass FROM a JOIN sg ON sg.seg = a.id WHERE a.cell IS NOT NULL GROUP BY a.cell")
+def segment_midpoint_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mid = inputs.segments(spark, sf_dir).selectExpr("seg", "mass", "(x1 + x2) / 2 AS x", "(y1 + y2) / 2 AS y")
+    return lt.assign(mid, grid()).where("cell IS NOT NULL").groupBy("cell").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+
+
+@query("WITH s AS (SELECT l_suppkey AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS s1, avg(l_quantity) AS m1, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS s2, round_even(avg(CAST(round(l_discount * 100) AS BIGINT)), 1) AS m2, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) AS s3, avg(CAST(round(l_tax * 100) AS BIGINT)) AS m3 FROM lineitem GROUP BY 1), v AS (SELECT k, round_even(s1 / m1, 0) AS v FROM s UNION ALL SELECT k, round_even(s2 / nullif(m2, 0), 0) FROM s UNION ALL SELECT k, round_even(s3 / nullif(m3, 0), 0) FROM s), c AS (SELECT k, v, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY k, v), m AS (SELECT k, v AS implied FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY n DESC, v) AS r FROM c) WHERE r = 1) SELECT v.k, implied, max(abs(v.v - implied)) AS most, count(*) FILTER (v.v <> implied) AS n_off FROM v JOIN m ON m.k = v.k WHERE v.v IS NOT NULL GROUP BY v.k, implied")
+def implied_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hundred = lambda c: F.round(F.col(c) * 100).cast("long")
+    s = inputs.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("s1"), F.avg("l_quantity").alias("m1"), F.sum(hundred("l_discount")).cast("double").alias("s2"), F.bround(F.avg(hundred("l_discount")), 1).alias("m2"), F.sum(hundred("l_tax")).cast("double").alias("s3"), F.avg(hundred("l_tax")).alias("m3"))
+    return lt.implied_counts(s, "k", [("s1", "m1"), ("s2", "m2"), ("s3", "m3")])
+
+
+SUP = "sup AS (SELECT s_suppkey AS id, CAST(s_suppkey * 8111 % 10007 AS DOUBLE) AS x, CAST(s_suppkey * 7001 % 10009 AS DOUBLE) AS y FROM supplier)"
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "CAST(s_suppkey * 8111 % 10007 AS DOUBLE) AS x", "CAST(s_suppkey * 7001 % 10009 AS DOUBLE) AS y")
+
+
+_D = "sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y))"
+SNAP = f"WITH {PT}, {SUP}, n AS (SELECT p.id AS q_id, s.id AS r_id, {_D} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_D}, s.id) AS nth, rank() OVER (PARTITION BY p.id ORDER BY {_D}) AS place FROM pt p, sup s)"
+
+
+@query(f"{SNAP} SELECT q_id, r_id, round(d, 6) AS d FROM n WHERE place = 1")
+def nearest_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier of each customer; equidistant ones all stay."""
+    return near.nearest(inputs.points(spark, sf_dir), suppliers(spark, sf_dir), 1, ties=True).select("q_id", "r_id", F.round("d", 6).alias("d"))
+
+
+@query(f"{SNAP} SELECT count(*) AS n, round(median(d), 6) AS median, round(quantile_cont(d, 0.9), 6) AS p90, round(max(d), 6) AS most FROM n WHERE nth = 1")
+def snap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = near.nearest(inputs.points(spark, sf_dir), suppliers(spark, sf_dir), 1)
+    return n.agg(F.count("*").alias("n"), F.round(F.median("d"), 6).alias("median"), F.round(F.percentile("d", 0.9), 6).alias("p90"), F.round(F.max("d"), 6).alias("most"))
+
+
+@query(f"{SNAP}, c AS (SELECT q_id, r_id, d, row_number() OVER (PARTITION BY r_id ORDER BY d, q_id) AS k FROM n WHERE nth = 1 AND d <= 400) SELECT q_id, r_id, round(d, 6) AS d FROM c WHERE k = 1")
+def nearest_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = near.within(inputs.points(spark, sf_dir), suppliers(spark, sf_dir), 400.0)
+    return near.one_to_one_nearest(pairs).select("q_id", "r_id", F.round("d", 6).alias("d"))
+
+
+K = 8
+_S = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
+
+
+def sql_knn(k: int = K) -> str:
+    """All pairs, ranked."""
+    return f"kn AS (SELECT i, j, d, nth FROM (SELECT p.id AS i, q.id AS j, {_S} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_S}, q.id) AS nth FROM pt p, pt q WHERE p.id <> q.id) WHERE nth <= {k})"
+
+
+@query(f"WITH {PT}, {sql_knn()} SELECT i, j, nth, round(d, 6) AS d FROM kn")
+def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = inputs.points(spark, sf_dir)
+    return near.nearest(p, p, K, self_join=True).select(F.col("q_id").alias("i"), F.col("r_id").alias("j"), F.col("nth").cast("long").alias("nth"), F.round("d", 6).alias("d"))
+
+
+REACH = 350.0
+
+
+@query(f"WITH {PT} SELECT p.id AS i, q.id AS j, round({_S}, 6) AS d FROM pt p, pt q WHERE p.id <> q.id AND {_S} <= {REACH}")
+def distance_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = inputs.points(spark, sf_dir)
+    return near.within(p, p, REACH, self_join=True).select(F.col("q_id").alias("i"), F.col("r_id").alias("j"), F.round("d", 6).alias("d"))
+
+
+@query(f"WITH {PT}, {sql_assign()}, c AS (SELECT DISTINCT a.cell, cx, cy FROM a JOIN cells ON cells.cell = a.cell) SELECT p.cell, q.cell AS neighbour FROM c p, c q WHERE abs(sqrt((p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy)) - 500) < 1e-6")
+def rook_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that share an edge, by the six offsets of a column's parity."""
+    cells = lt.assign(inputs.points(spark, sf_dir), grid()).where("cell IS NOT NULL").select("cell").distinct()
+    at = cells.select("cell", F.substring_index("cell", "_", 1).cast("int").alias("r"), F.substring_index("cell", "_", -1).cast("int").alias("c"))
+    odd = F.pmod("c", F.lit(2))
+    steps = F.array(*(F.struct((F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c")) for dr, dc in ((F.lit(1), 0), (F.lit(-1), 0), (odd - 1, 1), (odd, 1), (odd - 1, -1), (odd, -1))))
+    near_by = at.select("cell", F.explode(steps).alias("s")).select("cell", lt.cell_id(F.col("s.r"), F.col("s.c")).alias("neighbour"))
+    return near_by.join(cells.withColumnRenamed("cell", "neighbour"), "neighbour", "left_semi").select("cell", "neighbour")
+
+
+@query(f"WITH {PT}, {sql_knn()} SELECT count(DISTINCT i) AS n, " + ", ".join(f"round({f}(d) FILTER (nth = {k}), 6) AS {n}_{s}" for n, k in (("d_first", 1), ("d_kth", K)) for s, f in (("mean", "avg"), ("median", "median"), ("max", "max"), ("min", "min"))) + " FROM kn")
+def neighbour_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = weights.neighbour_stats(inputs.points(spark, sf_dir), K)
+    return out.select("n", *(F.round(c, 6).alias(c) for c in out.columns if c != "n"))
+
+
+@query(f"WITH {PT}, {sql_knn(K + 1)}, t AS (SELECT i, max(d) FILTER (nth = {K}) AS a, max(d) FILTER (nth = {K + 1}) AS b FROM kn GROUP BY i) SELECT i AS id, abs(b - a) <= greatest(a, b) * 1e-9 AS tied FROM t")
+def tie_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.tie_exposure(inputs.points(spark, sf_dir), K)
+
+
+@query(f"WITH {PT}, {sql_knn()} SELECT i AS id, round(sum(area / {K}.0::DOUBLE), 6) AS lag_area FROM kn JOIN pt ON pt.id = kn.j GROUP BY i")
+def row_standardised_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = weights.require_unique(inputs.points(spark, sf_dir), "id")
+    return weights.lag(weights.knn_weights(p, K), p, "area").withColumn("lag_area", F.round("lag_area", 6))
+
+
+@query(f"WITH {PT}, b AS (SELECT p.id AS i, q.id AS j, count(*) OVER (PARTITION BY p.id) AS n FROM pt p, pt q WHERE p.id <> q.id AND {_S} <= 100) SELECT (SELECT count(*) FROM pt) - count(DISTINCT i) AS n_islands, count(*) AS n_links, round(sum(1.0::DOUBLE / n), 6) AS weight FROM b")
+def band_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = inputs.points(spark, sf_dir)
+    w = weights.band_weights(p, 100.0)
+    return w.agg(F.count("*").alias("n_links"), F.round(F.sum("w"), 6).alias("weight")).crossJoin(weights.islands(p, w).agg(F.count("*").alias("n_islands")))
+
+
+SIZES = (250.0, 500.0, 1000.0)
+
+
+@query(f"WITH {PT}, " + ", ".join(sql_assign(s, str(int(s))) for s in SIZES) + " " + " UNION ALL ".join(f"SELECT {s}::DOUBLE AS spacing, count(DISTINCT cell) AS cells, count(*) AS points, count(*) FILTER (cell IS NULL) AS on_edges, CAST(max(n) AS BIGINT) AS fullest FROM (SELECT cell, count(*) OVER (PARTITION BY cell) * CAST(cell IS NOT NULL AS INTEGER) AS n FROM a{int(s)})" for s in SIZES))
+def maup_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for s in SIZES:
+        per = lt.assign(inputs.points(spark, sf_dir), grid(s)).groupBy("cell").agg(F.count("*").alias("n"))
+        row = per.agg(F.lit(s).alias("spacing"), F.count("cell").alias("cells"), F.sum("n").alias("points"), F.coalesce(F.sum(F.when(F.col("cell").isNull(), F.col("n"))), F.lit(0)).alias("on_edges"), F.max(F.when(F.col("cell").isNotNull(), F.col("n"))).alias("fullest"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {SG}, {_sql_cut()}, f AS (SELECT cell, count(*) AS n FROM cut GROUP BY cell), v AS (SELECT cell, count(*) AS n, sum(mass) AS mass FROM cut WHERE mass < 90 GROUP BY cell) SELECT f.cell, f.n, coalesce(v.n, 0) AS n_variant, CASE WHEN f.n = v.n THEN v.mass END AS scored FROM f LEFT JOIN v ON v.cell = f.cell")
+def coverage_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell is scored only when the variant (segments of less mass) covers it with as many segments as the reference."""
+    cut = lt.cut_by_cells(inputs.segments(spark, sf_dir), grid())
+    per = cut.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("mass") < 90).alias("n_variant"), F.sum(F.when(F.col("mass") < 90, F.col("mass"))).alias("m"))
+    return per.select("cell", "n", "n_variant", F.when(F.col("n") == F.col("n_variant"), F.col("m")).alias("scored"))
+
+
+@query(f"WITH {sql_cells()}, u AS (SELECT cell, r, c, cx, cy, unnest(range(0, 6)) AS k FROM cells WHERE cx BETWEEN 0 AND {EXTENT} AND cy BETWEEN 0 AND {EXTENT}) SELECT cell, k, round(cx + {grid().radius!r}::DOUBLE * cos(k * pi() / 3), 6) + 0.0 AS x, round(cy + {grid().radius!r}::DOUBLE * sin(k * pi() / 3), 6) + 0.0 AS y FROM u")
+def hex_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grid()
+    cells = g.cells(spark, EXTENT, EXTENT).select("cell", F.posexplode(g.vertices(F.col("row_index"), F.col("col_index"))).alias("k", "v"))
+    return cells.select("cell", F.col("k").cast("long").alias("k"), (F.round("v.x", 6) + 0.0).alias("x"), (F.round("v.y", 6) + 0.0).alias("y"))
+
+
