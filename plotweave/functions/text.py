@@ -11,8 +11,8 @@ from pyspark.sql import Column, functions as F
 
 @functools.lru_cache(1)
 def _fold_table() -> tuple[str, str]:
-    """Upper-case Latin, Greek and Cyrillic letters with marks, and their first letters, by canonical decomposition."""
-    pairs = [(chr(c), d) for block in (range(0xC0, 0x530), range(0x1E00, 0x2000)) for c in block if (d := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) != chr(c) and len(d) == 1 and not unicodedata.category(chr(c)).startswith("M")]
+    """Characters of the Latin, Greek and Cyrillic blocks that decompose to one character and marks, and that character."""
+    pairs = [(chr(c), d) for block in (range(0xA0, 0x530), range(0x1E00, 0x2000)) for c in block if (d := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) != chr(c) and len(d) == 1 and not unicodedata.category(chr(c)).startswith("M")]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 

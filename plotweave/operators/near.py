@@ -28,32 +28,36 @@ def within(queries: DataFrame, points: DataFrame, reach: float, self_join: bool
     return (out.where("q_id != r_id") if self_join else out).select("q_id", "r_id", "d")
 
 
-def bin_size(points: DataFrame, k: int) -> tuple[float, float]:
-    """A bin that holds about k points, and the extent: one aggregation, one row to the driver."""
-    n, x0, x1, y0, y1 = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    extent = max((x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0), 1.0)
-    return max(math.sqrt(max((x1 or 0) - (x0 or 0), 1.0) * max((y1 or 0) - (y0 or 0), 1.0) * (k + 1) / max(n, 1)), 1e-9), extent
+def bin_size(queries: DataFrame, points: DataFrame, k: int) -> tuple[float, float]:
+    """A bin that holds about k points, and the extent of all: two aggregations, a row each to the driver."""
+    bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    n, *p = points.agg(F.count("*"), *bounds).first()
+    q = queries.agg(*bounds).first()
+    x0, x1, y0, y1 = (v if v is not None else 0.0 for v in p)
+    both = [[v for v in (a, b) if v is not None] or [0.0] for a, b in zip(p, q)]
+    extent = max(max(both[1]) - min(both[0]), max(both[3]) - min(both[2]), 1.0)
+    return max(math.sqrt(max(x1 - x0, 1.0) * max(y1 - y0, 1.0) * (k + 1) / max(n, 1)), 1e-9), extent
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int = 1, self_join: bool = False, ties: bool = False, size: float | None = None) -> DataFrame:
     """q_id, r_id, d, nth: the k nearest points (ties by r_id); with ``ties`` all at the k-th distance stay.
 
-    Points within ``ring`` bins are joined; the answer stands where the k-th distance is at most ring * size, as nothing
-    nearer can lie outside. The others, few with bins of about k points, are asked again with twice the ring.
+    Points in the nine bins around a query are joined; the answer stands where the k-th distance is at most the bin's
+    size, as nothing nearer can lie outside. The others, few with bins of about k points, are asked again with bins twice
+    as large, so a query far from everything costs a handful of rounds and no round spreads a row over more than nine bins.
     """
-    own, extent = bin_size(points, k)
+    own, extent = bin_size(queries, points, k)
     size = size or own
-    most = math.ceil(2 * extent / size) + 1
     order = Window.partitionBy("q_id").orderBy("d", "r_id")
     rank = Window.partitionBy("q_id").orderBy("d")
-    pending, out, ring = queries.select("id", "x", "y"), None, 1
+    pending, out = queries.select("id", "x", "y"), None
     while True:
-        pairs = _around(_binned(pending, size, "q"), ring).join(_binned(points, size, "r"), ["bx", "by"]).withColumn("d", distance())
+        pairs = _around(_binned(pending, size, "q"), 1).join(_binned(points, size, "r"), ["bx", "by"]).withColumn("d", distance())
         if self_join:
             pairs = pairs.where("q_id != r_id")
-        found = pairs.select("q_id", "r_id", "d", F.row_number().over(order).alias("nth"), F.rank().over(rank).alias("place")).where("place <= %d" % k)
-        last = ring >= most
-        sure = found if last else found.withColumn("far", F.max(F.when(F.col("nth") == k, F.col("d"))).over(Window.partitionBy("q_id"))).where(F.col("far") <= ring * size).drop("far")
+        found = pairs.select("q_id", "r_id", "d", F.row_number().over(order).alias("nth"), F.rank().over(rank).alias("place")).where(f"place <= {k}")
+        last = size >= extent
+        sure = found if last else found.withColumn("far", F.max(F.when(F.col("nth") == k, F.col("d"))).over(Window.partitionBy("q_id"))).where(F.col("far") <= size).drop("far")
         sure = sure.persist()
         out = sure if out is None else out.unionByName(sure)
         if last:
@@ -61,7 +65,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, self_join: bool =
         pending = pending.join(sure.select(F.col("q_id").alias("id")).distinct(), "id", "left_anti").persist()
         if not pending.take(1):
             break
-        ring *= 2
+        size *= 2
     return (out if ties else out.where(f"nth <= {k}")).drop("place")
 
 

@@ -1,0 +1 @@
+"""Streaming has no part in the reference: nothing here computes on streams."""
