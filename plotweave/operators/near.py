@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .lineage import settled
+
 
 def _binned(df: DataFrame, size: float, prefix: str) -> DataFrame:
     """id, x, y, bx, by under a prefix."""
@@ -58,11 +60,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1, self_join: bool =
         found = pairs.select("q_id", "r_id", "d", F.row_number().over(order).alias("nth"), F.rank().over(rank).alias("place")).where(f"place <= {k}")
         last = size >= extent
         sure = found if last else found.withColumn("far", F.max(F.when(F.col("nth") == k, F.col("d"))).over(Window.partitionBy("q_id"))).where(F.col("far") <= size).drop("far")
-        sure = sure.persist()
+        sure = settled(sure)
         out = sure if out is None else out.unionByName(sure)
         if last:
             break
-        pending = pending.join(sure.select(F.col("q_id").alias("id")).distinct(), "id", "left_anti").persist()
+        pending = settled(pending.join(sure.select(F.col("q_id").alias("id")).distinct(), "id", "left_anti"))
         if not pending.take(1):
             break
         size *= 2

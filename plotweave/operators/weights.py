@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .lineage import settled
 from .near import nearest, within
 
 
@@ -41,7 +42,7 @@ def restrict(w: DataFrame, groups: DataFrame, most: int = 20) -> DataFrame:
     a, b = (groups.select(F.col("id").alias(c), F.col("g").alias(f"g{c}")) for c in "ij")
     now = w.select("i", "j").join(a, "i").join(b, "j").where("gi = gj").select("i", "j").persist()
     for _ in range(most):
-        kept = now.join(now.select(F.col("i").alias("j")).distinct(), "j", "left_semi").persist()
+        kept = settled(now.join(now.select(F.col("i").alias("j")).distinct(), "j", "left_semi"))
         if kept.count() == now.count():
             break
         now = kept
