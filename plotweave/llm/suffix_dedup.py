@@ -17,10 +17,12 @@ from .bwt import repeated_intervals
 LENGTH = 400
 #: A string is filed under the leftmost least hash of its GRAM-byte substrings; it has LENGTH - GRAM + 1 of them.
 GRAM = 200
+#: Anchors with more than MANY distinct contexts are filed anew under longer substrings, in the end under the string itself.
+FINER = (360, 392, 400)
 #: Bytes of a symbol, and whole symbols in any string of LENGTH bytes once symbols are aligned with its anchor.
 CELL = 16
 CORE = LENGTH // CELL - 1
-#: Symbols of a block that one merge takes, and distinct contexts of an anchor beyond which its strings are counted one by one.
+#: Symbols of a block that one merge takes, and distinct contexts of an anchor that it takes together.
 BLOCK_SYMBOLS, MANY = 48_000, 256
 #: Texts are cut into runs of so many starting points.
 SEGMENT = 1 << 19
@@ -48,16 +50,16 @@ def _gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes) -> Iterator[tuple[int, int, int, int]]:
+def anchors(text: bytes, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
     """(hash, first start, starts, place of the anchor behind the first start) of runs of strings with the same anchor.
 
     Which substring is a string's anchor depends on its own bytes alone, so equal strings have equal anchors at equal
     distances from their starts, and every starting point is in exactly one run.
     """
-    width = LENGTH - GRAM + 1
+    width = LENGTH - gram + 1
     for base in range(0, max(0, len(text) - LENGTH + 1), SEGMENT):
         data = np.frombuffer(text, np.uint8, min(SEGMENT + LENGTH - 1, len(text) - base), base)
-        full = _gram_hashes(data, GRAM)
+        full = _gram_hashes(data, gram)
         # the place in the low bits makes the leftmost of equal hashes the least
         least = (full & ~np.uint64((1 << 20) - 1)) | np.arange(len(full), dtype=np.uint64)
         n, span = len(data) - LENGTH + 1, 1
@@ -150,7 +152,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-_CONTEXT = [("h", T.LongType(), pa.int64()), ("c1", T.LongType(), pa.int64()), ("c2", T.LongType(), pa.int64()), ("off", T.IntegerType(), pa.int32()), ("n", T.IntegerType(), pa.int32()), ("times", T.LongType(), pa.int64()), ("many", T.BooleanType(), pa.bool_()), ("data", T.BinaryType(), pa.binary())]
+_CONTEXT = [("h", T.LongType(), pa.int64()), ("c1", T.LongType(), pa.int64()), ("c2", T.LongType(), pa.int64()), ("off", T.IntegerType(), pa.int32()), ("n", T.IntegerType(), pa.int32()), ("times", T.LongType(), pa.int64()), ("kinds", T.LongType(), pa.int64()), ("data", T.BinaryType(), pa.binary())]
 _RANGES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h", "c1", "c2")), T.StructField("runs", T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])))])
 _RUNS_PA = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
@@ -195,24 +197,51 @@ def _merge_blocks(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(run, _RANGES)
 
 
-def _count_strings(contexts: DataFrame) -> DataFrame:
-    """_RANGES of the contexts of anchors with very many: two hashes of every string, counted with partial sums, so that no task holds an anchor."""
+_FINER = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h", "c1", "c2")), T.StructField("s", T.IntegerType()), T.StructField("times", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("h_", "c1_", "c2_")), *(T.StructField(c, T.IntegerType()) for c in ("n_", "off_")), T.StructField("data", T.BinaryType())])
+_FINER_PA = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("times", pa.int64()), ("h_", pa.int64()), ("c1_", pa.int64()), ("c2_", pa.int64()), ("n_", pa.int32()), ("off_", pa.int32()), ("data", pa.binary())])
+
+
+def _file_anew(contexts: DataFrame, gram: int) -> DataFrame:
+    """_FINER: the contexts cut into runs whose anchors are substrings of ``gram`` bytes, each with the start it has in its context."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "data", 1 << 18):
-                cols = [[] for _ in range(7)]
+            for part in slices(batch, "data", 1 << 19):
+                cols = [[] for _ in _FINER_PA]
                 for r in part.to_pylist():
-                    view = memoryview(r["data"])
-                    for s in range(r["n"]):
-                        x = xxhash.xxh3_128_intdigest(view[s : s + LENGTH])
-                        for col, v in zip(cols, (r["h"], r["c1"], r["c2"], s, r["times"], (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63))):
+                    for h, s, n, off in anchors(r["data"], gram):
+                        data = r["data"][s : s + n + LENGTH - 1]
+                        c = xxhash.xxh3_128_intdigest(data)
+                        for col, v in zip(cols, (r["h"], r["c1"], r["c2"], s, r["times"], h, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), n, off, data)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=["h", "c1", "c2", "s", "times", "x1", "x2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FINER_PA)], schema=_FINER_PA)
+
+    return contexts.mapInArrow(run, _FINER)
+
 
-    strings = contexts.mapInArrow(run, "h long, c1 long, c2 long, s int, times long, x1 long, x2 long")
-    twice = strings.groupBy("x1", "x2").agg(F.sum("times").alias("all")).where("all > 1").select("x1", "x2")
-    return strings.join(twice, ["x1", "x2"]).groupBy("h", "c1", "c2").agg(F.transform(F.collect_set("s"), lambda s: F.struct(s.alias("lo"), (s + 1).alias("hi"))).alias("runs"))
+def _ranges(contexts: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
+    """_RANGES of contexts of anchors with two distinct contexts or more, given with ``kinds``, the number of these.
+
+    Anchors that MANY contexts share at most are dealt to blocks. Contexts of the others are filed under longer
+    substrings: contexts that differ only far from a string part ways, equal parts of them become one row with their sum,
+    and no task ever holds an anchor's contexts beyond MANY. The last level files each string under itself.
+    """
+    last = level == len(FINER)
+    few = contexts if last else contexts.where(f"kinds <= {MANY}")
+    out = _merge_blocks(few.select(*(n for n, _, _ in _CONTEXT if n != "kinds")).repartition("h").sortWithinPartitions("h"))
+    many = contexts.where(f"kinds > {MANY}")
+    if last or not many.take(1):
+        return out
+    finer = scratch.cut(_file_anew(many.select("h", "c1", "c2", "times", "data"), FINER[level]), f"finer{level}")
+    key, key_ = ["h", "c1", "c2"], ["h_", "c1_", "c2_"]
+    distinct = finer.groupBy(*key_).agg(F.sum("times").alias("times"), F.first("n_").alias("n"), F.first("off_").alias("off"), F.first("data").alias("data"))
+    kinds = finer.select(*key_).distinct().groupBy("h_").agg(F.count("*").alias("kinds"))
+    distinct = scratch.cut(distinct.join(kinds, "h_").withColumnsRenamed(dict(zip(key_, key))), f"distinct{level}")
+    whole = distinct.where("times > 1").select(*key, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
+    inner = _ranges(distinct.where("kinds > 1"), scratch, level + 1).union(whole)
+    placed = finer.select(*key, "s", *key_).join(inner.withColumnsRenamed(dict(zip(key, key_))), key_)
+    moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("s")).alias("lo"), (r["hi"] + F.col("s")).alias("hi")))
+    return out.union(placed.select(*key, moved.alias("runs")).groupBy(*key).agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -226,8 +255,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
        share the anchor, so contexts whose anchor occurs once are done: most of a corpus leaves here, as a few numbers.
     2. Distinct contexts of the other anchors are fetched once each and dealt by anchor. Tasks fill blocks with whole
        anchors, transform shards of a block, and merge the transforms; the intervals give the repeated strings.
-    3. A context that occurs twice is repeated throughout. Anchors with more than MANY distinct contexts are not brought
-       into one task: their strings are counted by 128-bit hashes with partial sums, which is exact in the same sense.
+    3. A context that occurs twice is repeated throughout. Contexts of an anchor that more than MANY share never meet in
+       one task: see ``_ranges``.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
@@ -236,12 +265,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     distinct = seen.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n", "off")).alias("one"))
     per = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select("h", "kinds")
     shared = scratch.cut(distinct.join(per, "h").select(*key, "times", "kinds", "one.*"), "shared")
-    wanted = shared.where("kinds > 1").select(*key, "times", "doc_id", "th", "at", "n", "off", (F.col("kinds") > MANY).alias("many"))
+    wanted = shared.where("kinds > 1").select(*key, "times", "doc_id", "th", "at", "n", "off", "kinds")
     contexts = scratch.cut(_fetch(base, wanted), "contexts")
-    few = contexts.where("NOT many").repartition("h").sortWithinPartitions("h")
     whole = shared.where("times > 1").select(*key, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    parts = _merge_blocks(few).union(_count_strings(contexts.where("many")))
-    ranges = scratch.cut(parts.union(whole), "ranges")
+    ranges = scratch.cut(_ranges(contexts, scratch).union(whole), "ranges")
     scratch.drop("contexts", "shared")
     places = seen.select("doc_id", "th", "at", *key).join(ranges, key).select("doc_id", "th", F.explode("runs").alias("r"), "at").groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))).alias("starts"))
     places = places.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.array_sort("starts").alias("starts"))
