@@ -155,8 +155,8 @@ def fixed_effects_r2(df: DataFrame, group: str, col: str) -> DataFrame:
     per = df.where(F.col(group).isNotNull() & F.col(col).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.avg(col).alias("m"), (F.var_pop(col) * F.count("*")).alias("ssw"))
     total = per.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum("ssw").alias("ssw"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("m")).alias("s"))
     ssb = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    r2 = 1 - F.col("ssw") / (F.col("ssw") + ssb)
-    return total.select("n", F.col("g").alias("groups"), r2.alias("r2"), (1 - (1 - r2) * (F.col("n") - 1) / (F.col("n") - F.col("g"))).alias("adj_r2"))
+    r2 = 1 - F.try_divide(F.col("ssw"), F.col("ssw") + ssb)
+    return total.select("n", F.col("g").alias("groups"), r2.alias("r2"), (1 - (1 - r2) * F.try_divide(F.col("n") - 1, F.col("n") - F.col("g"))).alias("adj_r2"))
 
 
 def leave_block_out(df: DataFrame, block: str, y: str, x: str) -> DataFrame:

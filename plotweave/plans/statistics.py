@@ -80,7 +80,7 @@ def morans_i(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_row(spark, out, 8).withColumn("z", F.round("z", 5))
 
 
-@query(f"WITH {PT}, {sql_assign()}, d AS (SELECT area, a.cell FROM pt JOIN a ON a.id = pt.id WHERE cell IS NOT NULL), g AS (SELECT cell, avg(area) AS m FROM d GROUP BY cell), s AS (SELECT sum((area - m) * (area - m)) AS ssw, count(*) AS n, count(DISTINCT d.cell) AS groups, var_pop(area) * count(*) AS sst FROM d JOIN g ON g.cell = d.cell) SELECT n, groups, round(1 - ssw / sst, 6) AS r2, round(1 - ssw / sst * (n - 1) / (n - groups), 6) AS adj_r2 FROM s")
+@query(f"WITH {PT}, {sql_assign()}, d AS (SELECT area, a.cell FROM pt JOIN a ON a.id = pt.id WHERE cell IS NOT NULL), g AS (SELECT cell, avg(area) AS m FROM d GROUP BY cell), s AS (SELECT sum((area - m) * (area - m)) AS ssw, count(*) AS n, count(DISTINCT d.cell) AS groups, var_pop(area) * count(*) AS sst FROM d JOIN g ON g.cell = d.cell) SELECT n, groups, round(1 - ssw / sst, 6) AS r2, round(1 - ssw / sst * ((n - 1) / nullif(n - groups, 0)), 6) AS adj_r2 FROM s")
 def cell_fixed_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats.fixed_effects_r2(lt.assign(inputs.points(spark, sf_dir), grid()), "cell", "area")
     return out.withColumns({c: F.round(c, 6) for c in ("r2", "adj_r2")})
