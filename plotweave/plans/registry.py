@@ -1,6 +1,6 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-from . import cleaning, derived, graphs, linking, profiles, ranks, spatial, statistics, validation  # noqa: F401
+from . import cleaning, derived, graphs, linking, profiles, ranks, spatial, statistics, validation, variants  # noqa: F401
 from .register import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
