@@ -196,14 +196,32 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, s double")
 
 
+def _unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """node, w, u: the weight of each text (node, text), and of its shingles that no other of these texts holds. Shingles are counted with partial sums; one that is counted once still knows its text."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                values, counts, bounds = shingles(part["text"])
+                weights = (counts * idf[bucket_of(values)]).astype(np.float64)
+                lists = lambda v: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v))
+                yield pa.RecordBatch.from_arrays([part["node"], lists(values.view(np.int64)), lists(weights)], names=["node", "h", "w"])
+
+    full = texts.mapInArrow(run, "node long, h array<long>, w array<double>")
+    each = full.select("node", F.explode(F.arrays_zip("h", "w")).alias("s")).select("node", "s.h", "s.w")
+    once = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1").groupBy("node").agg(F.sum("w").alias("u"))
+    return each.groupBy("node").agg(F.sum("w").alias("w")).join(once, "node", "left").select("node", "w", F.coalesce("u", F.lit(0.0)).alias("u"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, h1, h2, class_id, lead1, lead2 for every row; class_id is the least doc_id of the row's class.
 
     Equal texts are one node. Texts that share a band meet in its bucket, and each is tested against the bucket's pivot,
     the text with most bucket mates; so a bucket of n texts gives n - 1 pairs. What such stars leave open are texts of one
-    bucket in different components: these pairs are taken too, unless the triangle inequality (1 - similarity is a
-    metric, and both distances to the pivot are known) or the samples rule them out. Links are verified by weighted
-    Jaccard similarity over whole texts; classes are the components of the links.
+    bucket in different components: these pairs are taken too, unless a bound or the samples rule them out. One bound is
+    the triangle inequality (1 - similarity is a metric, and both distances to the pivot are known); the other is that two
+    texts share at most what either doesn't hold alone among the texts in question. Links are verified by weighted Jaccard
+    similarity over whole texts; classes are the components of the links.
 
     Null and empty texts, and texts without words, are near duplicates of equal texts only. Repeated rows share a class.
     (lead1, lead2) are the hashes of the class's least doc_id's text. A null doc_id comes before all others.
@@ -236,12 +254,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = members.join(stars, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("part"))
     open_buckets = component.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("bucket")
     far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("s")).alias("d"))
-    rest = component.where("node != pivot").join(open_buckets, "bucket").join(far, ["pivot", "node"]).join(nodes.select("node", "sig", "bands"), "node")
+    rest = component.where("node != pivot").join(open_buckets, "bucket").join(far, ["pivot", "node"])
     rest = scratch.cut(rest, "rest")
-    x, y = (rest.select(*(F.col(c).alias(f"{p}_{c}") for c in ("bucket", "node", "part", "d", "sig", "bands"))) for p in "ab")
+    own = scratch.cut(_unshared(texts.join(rest.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "text"), idf), "own")
+    rest = scratch.cut(rest.join(own, "node").join(nodes.select("node", "sig", "bands"), "node"), "placed")
+    x, y = (rest.select(*(F.col(c).alias(f"{p}_{c}") for c in ("bucket", "node", "part", "d", "w", "u", "sig", "bands"))) for p in "ab")
+    most = "least(a_w - a_u, b_w - b_u)"
     first = f"a_bucket = a_bands[element_at(filter(sequence(0, {BANDS - 1}), i -> a_bands[i] = b_bands[i]), 1)]"  # each pair once
     agree = f"size(filter(sequence(0, {SAMPLES - 1}), i -> a_sig[i] = b_sig[i])) >= {AGREE}"
-    met = F.expr(f"a_bucket = b_bucket AND a_part < b_part AND abs(a_d - b_d) <= {1 - LEAST + 1e-9} AND {agree} AND {first}")
+    met = F.expr(f"a_bucket = b_bucket AND a_part < b_part AND abs(a_d - b_d) <= {1 - LEAST + 1e-9} AND {most} >= {LEAST - 1e-6} * (a_w + b_w - {most}) AND {agree} AND {first}")
     more = x.join(y, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     found = scratch.cut(_verify(more, texts, idf).where(f"s >= {LEAST}").select("a", "b"), "found")
     roots = connected(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found), scratch, "all") if found.take(1) else stars
@@ -249,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.select("node", "h1", "h2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     leads = placed.groupBy("root").agg(lead)
     classes = scratch.cut(placed.join(leads, "root").select("h1", "h2", F.col("lead.doc_id").alias("class_id"), F.col("lead.h1").alias("lead1"), F.col("lead.h2").alias("lead2")), "classes")
-    scratch.drop("nodes", "shared", "members", "texts", "tested", "rest", "found")
+    scratch.drop("nodes", "shared", "members", "texts", "tested", "rest", "own", "placed", "found")
     return signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
 
 
