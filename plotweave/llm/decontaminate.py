@@ -9,7 +9,7 @@ SPAN = 10
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a fingerprint and fingerprints of a window: GRAM + WINNOW - 1 = SPAN, so every span of SPAN words keeps one.
 GRAM, WINNOW = 5, 6
-#: Benchmark fingerprints (8 bytes each) or windows are broadcast up to so many; beyond, the join shuffles both sides.
+#: The benchmark's tables are broadcast when its pairs of window and item are so many at most; beyond, joins shuffle both sides.
 BROADCAST_ROWS = 200_000
 
 
@@ -53,7 +53,7 @@ class Benchmark:
         one = keyed.groupBy("h1", "h2").agg(F.first("win").alias("win"))
         long = _with_grams(one.withColumnRenamed("win", "w")).withColumn("fp", F.expr(f"CASE WHEN g IS NOT NULL THEN {_least('0')} " + " ".join(f"WHEN size(w) = {n} THEN {_hash('w', '0', n, n)}" for n in self.lengths) + " END"))
         self.windows = long.select("h1", "h2", F.col("w").alias("win"), "fp")
-        self.small = self.windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        self.small = self.owners.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # no more windows than owners
 
     def side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
