@@ -22,7 +22,7 @@ SAMPLES = BANDS * ROWS
 IDF_BITS = 16
 #: Of two texts that aren't tested through a pivot so many samples must agree (2.9 standard deviations below 0.8).
 AGREE = 36
-_TABLE_BITS = 16
+_TABLE_BITS = 12
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -114,24 +114,35 @@ def signatures(values: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> n
 
     For weight S: t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r; the shingle with the least a is the
     sample. Two texts draw the same (shingle, t) with a probability equal to their weighted Jaccard similarity. r, c and b
-    come from tables by a hash of the shingle; a and the hash are one integer, so that one minimum yields both.
+    come from tables by a hash of the shingle.
     """
     out = np.zeros((len(bounds) - 1, SAMPLES), np.int32)
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
         return out
-    starts = bounds[full]
+    starts, sizes = bounds[full], np.diff(bounds)[full]
     log_s = np.log(weights).astype(np.float32)
     odd, r_of, c_of, b_of = _draws()
+    first = np.arange(len(full))
     for j in range(SAMPLES):
         mixed = values * odd[j]
-        at = (mixed >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        r, b = r_of[j][at], b_of[j][at]
-        t = np.floor(log_s / r + b)
-        log_a = c_of[j][at] - r * (t - b + np.float32(1))
-        rank = np.clip((log_a + np.float32(64)) * np.float32(1 << 24), 0, 4e9).astype(np.uint64)
-        tag = (_mix(mixed + t.astype(np.int64).view(np.uint64)) >> np.uint64(32))
-        out[full, j] = (np.minimum.reduceat((rank << np.uint64(32)) | tag, starts) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        at = (mixed >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
+        r, b = r_of[j].take(at, mode="clip"), b_of[j].take(at, mode="clip")
+        t = log_s / r
+        t += b
+        np.floor(t, out=t)
+        log_a = b
+        np.subtract(t, b, out=log_a)
+        log_a += np.float32(1)
+        log_a *= r
+        np.subtract(c_of[j].take(at, mode="clip"), log_a, out=log_a)
+        # the least of each text, and of equal ones the least hash
+        near = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), sizes))
+        tag = _mix(mixed[near] + t[near].astype(np.int64).view(np.uint64)) >> np.uint64(32)
+        if len(near) > len(full):
+            owner = np.searchsorted(starts, near, side="right") - 1
+            tag = np.minimum.reduceat(tag, np.searchsorted(owner, first))
+        out[full, j] = tag.astype(np.uint32).view(np.int32)
     return out
 
 
