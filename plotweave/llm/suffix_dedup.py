@@ -260,16 +260,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "repeats")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    seen = scratch.cut(_occurrences(base), "seen")
+    every = scratch.cut(_occurrences(base), "every")
+    again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    seen = scratch.cut(every.join(again, "h"), "seen")
+    scratch.drop("every")
     key = ["h", "c1", "c2"]
     distinct = seen.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n", "off")).alias("one"))
-    per = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("times").alias("all")).where("all > 1").select("h", "kinds")
+    per = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
     shared = scratch.cut(distinct.join(per, "h").select(*key, "times", "kinds", "one.*"), "shared")
     wanted = shared.where("kinds > 1").select(*key, "times", "doc_id", "th", "at", "n", "off", "kinds")
     contexts = scratch.cut(_fetch(base, wanted), "contexts")
     whole = shared.where("times > 1").select(*key, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
     ranges = scratch.cut(_ranges(contexts, scratch).union(whole), "ranges")
-    scratch.drop("contexts", "shared")
+    scratch.drop("contexts", "shared", *(f"{t}{k}" for k in range(len(FINER)) for t in ("finer", "distinct")))
     places = seen.select("doc_id", "th", "at", *key).join(ranges, key).select("doc_id", "th", F.explode("runs").alias("r"), "at").groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))).alias("starts"))
     places = places.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.array_sort("starts").alias("starts"))
     joined = base.join(places, base["doc_id"].eqNullSafe(F.col("_id")) & (base["th"] == F.col("_th")), "left").select("doc_id", "text", F.col("starts.lo").alias("lo"), F.col("starts.hi").alias("hi"))
