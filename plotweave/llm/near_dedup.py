@@ -22,7 +22,8 @@ SAMPLES = BANDS * ROWS
 IDF_BITS = 16
 #: Of two texts that aren't tested through a pivot so many samples must agree (2.9 standard deviations below 0.8).
 AGREE = 36
-_TABLE_BITS = 12
+#: A sample is searched among shingles whose least possible value is below this over the text's weight, then among all.
+ENOUGH = 5.0
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -100,48 +101,78 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each sample a multiplier, and tables of r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), and b uniform."""
-    rng = np.random.Generator(np.random.PCG64(20))
-    n = 1 << _TABLE_BITS
-    odd = rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    r = rng.gamma(2.0, 1.0, (SAMPLES, n)).astype(np.float32)
-    return odd, np.maximum(r, np.float32(1e-4)), np.log(rng.gamma(2.0, 1.0, (SAMPLES, n))).astype(np.float32), rng.random((SAMPLES, n), dtype=np.float32)
+def _multipliers() -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers strictly between 0 and 1 from each hash."""
+    return tuple((h.astype(np.float64) + 0.5) * 2.0**-32 for h in (x >> np.uint64(32), x & np.uint64(0xFFFFFFFF)))
+
+
+def _samples(mixed: np.ndarray, hi: np.ndarray, lo: np.ndarray, log_s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and t of shingles by their hashes for a sample; (hi, lo) are the leading bits of the first two draws.
+
+    r and c are drawn by way of e = c * u1, where r = -ln(u1 * u2): e is exponential, and c is e plus another exponential
+    number. So c and r are independent and both Gamma(2, 1).
+    """
+    (more1, more2), (u3, b) = _halves(_mix(mixed + _P)), _halves(_mix(mixed + _M2))
+    e = -np.log1p(-(hi + more1) * 2.0**-32)
+    c = e - np.log(u3)
+    r = np.maximum(-np.log(e / c * ((lo + more2) * 2.0**-32)), 1e-12)
+    t = np.floor(log_s / r + b)
+    return np.log(c) - r * (t - b + 1), t
 
 
 def signatures(values: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Improved consistent weighted samples of each text as 32-bit hashes of (shingle, t); texts without shingles get zeros.
 
-    For weight S: t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r; the shingle with the least a is the
-    sample. Two texts draw the same (shingle, t) with a probability equal to their weighted Jaccard similarity. r, c and b
-    come from tables by a hash of the shingle.
+    For weight S: r and c ~ Gamma(2, 1), b uniform, t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r; the
+    shingle with the least a is the sample. Two texts draw the same (shingle, t) with a probability equal to their weighted
+    Jaccard similarity. r, c and b come from hashes of shingle and sample.
+
+    As ln y <= ln S, a is at least c * exp(-r) / S, and that at least the product of the first two draws over S. Only
+    shingles where this bound is below ENOUGH over the text's weight are drawn in full; where no a turns out to be below it
+    (exp(-ENOUGH) of the samples), all shingles of the text are. So the least a is always found.
     """
     out = np.zeros((len(bounds) - 1, SAMPLES), np.int32)
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
         return out
     starts, sizes = bounds[full], np.diff(bounds)[full]
-    log_s = np.log(weights).astype(np.float32)
-    odd, r_of, c_of, b_of = _draws()
-    first = np.arange(len(full))
-    for j in range(SAMPLES):
-        mixed = values * odd[j]
-        at = (mixed >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
-        r, b = r_of[j].take(at, mode="clip"), b_of[j].take(at, mode="clip")
-        t = log_s / r
-        t += b
-        np.floor(t, out=t)
-        log_a = b
-        np.subtract(t, b, out=log_a)
-        log_a += np.float32(1)
-        log_a *= r
-        np.subtract(c_of[j].take(at, mode="clip"), log_a, out=log_a)
+    weights = weights.astype(np.float64)
+    log_s = np.log(weights)
+    limit = ENOUGH / np.add.reduceat(weights, starts)
+    log_limit = np.log(limit) - 1e-9
+    most = np.minimum(np.repeat(limit, sizes) * weights * 2.0**64 * (1 + 1e-9), 1.8e19).astype(np.uint64)
+    owners = np.repeat(np.arange(len(full)), sizes)
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    mixed, hi, lo = (np.empty(len(values), np.uint64) for _ in range(3))
+    for j, odd in enumerate(_multipliers()):
+        np.multiply(values, odd, out=mixed)
+        np.right_shift(mixed, half, out=hi)
+        np.bitwise_xor(mixed, hi, out=mixed)
+        np.multiply(mixed, _M1, out=mixed)
+        np.right_shift(mixed, half, out=hi)
+        np.bitwise_xor(mixed, hi, out=lo)
+        np.bitwise_and(lo, low, out=lo)
+        at = np.flatnonzero(np.multiply(hi, lo) <= most)
+        owner = owners[at]
+        log_a, t = _samples(mixed[at], hi[at], lo[at], log_s[at])
+        least = np.full(len(full), np.inf)
+        np.minimum.at(least, owner, log_a)
+        again = np.flatnonzero(least >= log_limit)
+        if len(again):
+            keep = ~np.isin(owner, again)
+            more = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in again])
+            log_m, t_m = _samples(mixed[more], hi[more], lo[more], log_s[more])
+            at, owner = np.append(at[keep], more), np.append(owner[keep], np.repeat(again, sizes[again]))
+            log_a, t = np.append(log_a[keep], log_m), np.append(t[keep], t_m)
+            np.minimum.at(least, owner, log_a)
         # the least of each text, and of equal ones the least hash
-        near = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), sizes))
-        tag = _mix(mixed[near] + t[near].astype(np.int64).view(np.uint64)) >> np.uint64(32)
-        if len(near) > len(full):
-            owner = np.searchsorted(starts, near, side="right") - 1
-            tag = np.minimum.reduceat(tag, np.searchsorted(owner, first))
+        near = log_a == least[owner]
+        tag = np.full(len(full), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(tag, owner[near], _mix(mixed[at[near]] + t[near].astype(np.int64).view(np.uint64)) >> half)
         out[full, j] = tag.astype(np.uint32).view(np.int32)
     return out
 
