@@ -20,10 +20,10 @@ BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 #: Document frequencies are counted in so many buckets of shingle hashes, at every size of input.
 IDF_BITS = 16
-#: Of two texts that aren't tested through a pivot so many samples must agree (2.9 standard deviations below 0.8).
-AGREE = 36
 #: A sample is searched among shingles whose least possible value is below this over the text's weight, then among all.
 ENOUGH = 5.0
+#: Groups of shingle hashes in which the weights of two texts bound what they share.
+GROUPS = 64
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -188,8 +188,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text), sig and bands; both null for a text without words."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, h1, h2 (hashes of the text) and bands, null for a text without words."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -202,7 +202,7 @@ def _sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys = _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 none = np.diff(bounds) == 0
                 lists = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], mask=np.append(none, False)), pa.array(m.ravel(), t))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h1"], part["h2"], lists(sig, pa.int32()), lists(keys, pa.int64())], names=["doc_id", "h1", "h2", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h1"], part["h2"], lists(keys, pa.int64())], names=["doc_id", "h1", "h2", "bands"])
 
     return _hashed(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
@@ -239,20 +239,33 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def _unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, w, u: the weight of each text (node, text), and of its shingles that no other of these texts holds. Shingles are counted with partial sums; one that is counted once still knows its text."""
+    """node, w, g, u: the weight of each text (node, text), also by GROUPS of shingle hashes, and of its shingles that no other of these texts holds. Shingles are counted with partial sums; one that is counted once still knows its text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 values, counts, bounds = shingles(part["text"])
                 weights = (counts * idf[bucket_of(values)]).astype(np.float64)
-                lists = lambda v: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v))
-                yield pa.RecordBatch.from_arrays([part["node"], lists(values.view(np.int64)), lists(weights)], names=["node", "h", "w"])
+                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                by_group = np.bincount(owner * GROUPS + (values % np.uint64(GROUPS)).astype(np.int64), weights, part.num_rows * GROUPS)
+                lists = lambda v, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v))
+                yield pa.RecordBatch.from_arrays([part["node"], lists(values.view(np.int64), bounds), lists(weights, bounds), lists(by_group, np.arange(part.num_rows + 1) * GROUPS)], names=["node", "h", "w", "g"])
 
-    full = texts.mapInArrow(run, "node long, h array<long>, w array<double>")
+    full = texts.mapInArrow(run, "node long, h array<long>, w array<double>, g array<double>")
     each = full.select("node", F.explode(F.arrays_zip("h", "w")).alias("s")).select("node", "s.h", "s.w")
     once = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1").groupBy("node").agg(F.sum("w").alias("u"))
-    return each.groupBy("node").agg(F.sum("w").alias("w")).join(once, "node", "left").select("node", "w", F.coalesce("u", F.lit(0.0)).alias("u"))
+    whole = full.select("node", F.expr("aggregate(g, 0D, (v, w) -> v + w)").alias("w"), "g")
+    return whole.join(once, "node", "left").select("node", "w", "g", F.coalesce("u", F.lit(0.0)).alias("u"))
+
+
+def _open_pairs(rest: DataFrame) -> DataFrame:
+    """a, b: the pairs of texts of one bucket in different parts that no exact bound rules out, each once."""
+    x, y = (rest.select(*(F.col(c).alias(f"{p}_{c}") for c in ("bucket", "node", "part", "d", "w", "u", "g", "bands"))) for p in "ab")
+    most = "least(a_w - a_u, b_w - b_u)"
+    first = f"a_bucket = a_bands[element_at(filter(sequence(0, {BANDS - 1}), i -> a_bands[i] = b_bands[i]), 1)]"  # each pair once
+    groups = "aggregate(zip_with(a_g, b_g, (v, w) -> least(v, w)), 0D, (v, w) -> v + w)"
+    met = F.expr(f"a_bucket = b_bucket AND a_part < b_part AND abs(a_d - b_d) <= {1 - LEAST + 1e-9} AND {most} >= {LEAST - 1e-6} * (a_w + b_w - {most}) AND {first} AND {groups} >= {LEAST - 1e-6} * (a_w + b_w - {groups})")
+    return x.join(y, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -260,9 +273,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts are one node. Texts that share a band meet in its bucket, and each is tested against the bucket's pivot,
     the text with most bucket mates; so a bucket of n texts gives n - 1 pairs. What such stars leave open are texts of one
-    bucket in different components: these pairs are taken too, unless a bound or the samples rule them out. One bound is
-    the triangle inequality (1 - similarity is a metric, and both distances to the pivot are known); the other is that two
-    texts share at most what either doesn't hold alone among the texts in question. Links are verified by weighted Jaccard
+    bucket in different components: these pairs are taken too, unless an exact bound rules them out. One bound is
+    the triangle inequality (1 - similarity is a metric, and both distances to the pivot are known), another that two
+    texts share at most what either doesn't hold alone among the texts in question; the last that in each group of shingle
+    hashes they share at most the lesser of their weights there. Links are verified by weighted Jaccard
     similarity over whole texts; classes are the components of the links.
 
     Null and empty texts, and texts without words, are near duplicates of equal texts only. Repeated rows share a class.
@@ -274,8 +288,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     idf = idf_weights(base)
     signed = scratch.cut(_sign(base, idf), "signed")
     lead = F.min(F.struct("doc_id", "h1", "h2")).alias("lead")
-    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = scratch.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("doc_id"), "sig", "bands"), "nodes")
+    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.first("bands").alias("bands"))
+    nodes = scratch.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("doc_id"), "bands"), "nodes")
 
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -299,13 +313,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = component.where("node != pivot").join(open_buckets, "bucket").join(far, ["pivot", "node"])
     rest = scratch.cut(rest, "rest")
     own = scratch.cut(_unshared(texts.join(rest.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "text"), idf), "own")
-    rest = scratch.cut(rest.join(own, "node").join(nodes.select("node", "sig", "bands"), "node"), "placed")
-    x, y = (rest.select(*(F.col(c).alias(f"{p}_{c}") for c in ("bucket", "node", "part", "d", "w", "u", "sig", "bands"))) for p in "ab")
-    most = "least(a_w - a_u, b_w - b_u)"
-    first = f"a_bucket = a_bands[element_at(filter(sequence(0, {BANDS - 1}), i -> a_bands[i] = b_bands[i]), 1)]"  # each pair once
-    agree = f"size(filter(sequence(0, {SAMPLES - 1}), i -> a_sig[i] = b_sig[i])) >= {AGREE}"
-    met = F.expr(f"a_bucket = b_bucket AND a_part < b_part AND abs(a_d - b_d) <= {1 - LEAST + 1e-9} AND {most} >= {LEAST - 1e-6} * (a_w + b_w - {most}) AND {agree} AND {first}")
-    more = x.join(y, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    rest = scratch.cut(rest.join(own, "node").join(nodes.select("node", "bands"), "node"), "placed")
+    more = _open_pairs(rest)
     found = scratch.cut(_verify(more, texts, idf).where(f"s >= {LEAST}").select("a", "b"), "found")
     roots = connected(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found), scratch, "all") if found.take(1) else stars
 

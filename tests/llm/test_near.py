@@ -121,6 +121,14 @@ def test_samples_do_not_depend_on_the_bound(monkeypatch):
     assert (sig == nd.signatures(values, weights, bounds)).all()
 
 
+def test_open_pairs_need_one_band_alone(spark):
+    """Of three texts in one bucket two differ in all other bands, so that as few as 4 of 56 samples may agree; only exact bounds may drop a pair."""
+    group = lambda *w: [float(x) for x in w] + [0.0] * (nd.GROUPS - len(w))
+    rows = [(7, n, n, 0.25, 100.0, 10.0, group(*g), [7, *range(100 * n, 100 * n + nd.BANDS - 1)]) for n, g in ((1, (90, 10)), (2, (90, 0, 10)), (3, (50, 0, 0, 50)))]
+    rest = spark.createDataFrame(rows, "bucket long, node long, part long, d double, w double, u double, g array<double>, bands array<long>")
+    assert [tuple(r) for r in nd._open_pairs(rest).collect()] == [(1, 2)]
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 500)]
