@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ CLASSES = (
     ("entropy_alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.75, (r"[0-9].*[0-9]", r"[A-Z]", r"[a-z]")),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.75, (r"[0-9].*[0-9]", r"[A-Z]", r"[a-z]", r"[+/_=-]")),
 )
-#: An entropy span is dropped when its candidate matches one of these, or the text just before it does.
+#: A run of letters and digits in a candidate is not scanned when one of these matches in it; a candidate isn't when the text just before it matches.
 ALLOW_INSIDE = tuple(re.compile(p, re.I) for p in (r"example|sample|placeholder|dummy|changeme|your[_-]?(key|token)", r"^(.)\1*$", r"0123456789|abcdefghij"))
 ALLOW_BEFORE = re.compile(r"(sha(1|224|256|384|512)|md5|integrity|checksum|commit|uuid)[\"']?\s*[:=-]?\s*[\"']?$|://\S*$", re.I)
 BEFORE = 80
@@ -66,17 +67,54 @@ def windows_over(run: str, width: int, bits: float) -> Iterator[tuple[int, int]]
         yield start, end
 
 
+def _without_allowed(word: str) -> str:
+    """The candidate with blanks for each run of letters and digits that holds (part of) a match of the allow-list."""
+    marked = None
+    for p in ALLOW_INSIDE:
+        done = 0
+        for m in p.finditer(word):
+            a, b = m.span()
+            if b <= done:
+                continue
+            marked = marked or list(word)
+            while a > done and word[a - 1].isalnum():
+                a -= 1
+            while b < len(word) and word[b].isalnum():
+                b += 1
+            marked[a:b] = " " * (b - a)
+            done = b
+    return "".join(marked) if marked else word
+
+
 def entropy_spans(text: str) -> Iterator[tuple[str, int, int]]:
-    """Each candidate is taken by the narrowest class that flags it."""
+    """Every class scans each candidate; spans that spans of narrower classes cover are left out."""
     for found in CANDIDATE.finditer(text):
-        word, at = found[0], found.start()
-        if any(p.search(word) for p in ALLOW_INSIDE) or ALLOW_BEFORE.search(text[max(0, at - BEFORE) : at]):
+        at = found.start()
+        if ALLOW_BEFORE.search(text[max(0, at - BEFORE) : at]):
             continue
+        word = _without_allowed(found[0])
+        narrower: list[tuple[int, int]] = []
         for kind, pattern, width, bits, needs in CLASSES:
             spans = [(at + run.start() + a, at + run.start() + b) for run in pattern.finditer(word) if all(re.search(n, run[0], re.S) for n in needs) for a, b in windows_over(run[0], width, bits)]
-            if spans:
-                yield from ((kind, a, b) for a, b in spans)
-                break
+            new = [s for s in spans if not _covered(s, narrower)]
+            yield from ((kind, a, b) for a, b in new)
+            narrower = _union(narrower + new)
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, with those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _covered(span: tuple[int, int], union: list[tuple[int, int]]) -> bool:
+    at = bisect.bisect_right(union, (span[0], math.inf)) - 1
+    return at >= 0 and union[at][1] >= span[1]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:

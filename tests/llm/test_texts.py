@@ -63,6 +63,17 @@ def test_entropy_windows_by_hand():
         assert {p for a, b in secrets.windows_over(run, width, bits) for p in range(a, b)} == covered
 
 
+def test_entropy_of_every_part_of_a_candidate():
+    hexed, key = "3fa81c9e7b20d4655e1f9ac807b3d2e6", "q7Zp2LxV9mK4tR8wYb3NcJ6hGd5sFv1XaWu0EoTi"
+    spans = secrets.find_spans(f"{hexed}/{key}")
+    assert ("entropy_hex", 0, 32) in spans and ("entropy_alnum", 33, 73) in spans
+    assert ("entropy_alnum", 7, 47) in secrets.find_spans(f"sample/{key}")
+    mixed = "q7Zp2LxV9+mK4tR8wYb/3NcJ6hGd5"
+    assert any(k == "entropy_base64" and a <= 15 and b == 14 + len(mixed) for k, a, b in secrets.find_spans(f"data/sample/xx{mixed}"))
+    assert [s[0] for s in secrets.find_spans(key)] == ["entropy_alnum"]
+    assert not secrets.find_spans(f"example{key}/sample")
+
+
 def test_entropy_and_allow_list():
     key = "q7Zp2LxV9mK4tR8wYb3N"
     assert ("entropy_alnum", 4, 24) in secrets.find_spans("use " + key)
