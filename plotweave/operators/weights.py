@@ -44,9 +44,9 @@ def restrict(w: DataFrame, groups: DataFrame, most: int = 20) -> DataFrame:
     for _ in range(most):
         kept = settled(now.join(now.select(F.col("i").alias("j")).distinct(), "j", "left_semi"))
         if kept.count() == now.count():
-            break
+            return standardise(now)
         now = kept
-    return standardise(now)
+    raise RuntimeError("members without neighbours did not settle")
 
 
 def lag(w: DataFrame, values: DataFrame, col: str) -> DataFrame:

@@ -140,3 +140,9 @@ def test_components(spark):
     got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "c").collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
     assert components.connected(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_components_that_do_not_settle_raise(spark, monkeypatch):
+    monkeypatch.setattr(components, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        components.connected(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), Scratch(spark, "t"), "c")
