@@ -36,13 +36,14 @@ def shard_transform(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
 
 
 def merge_to_depth(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first ``depth`` symbols, and the class of each place.
+    """Interleave of the shards' suffixes by their first ``depth`` symbols, and common prefixes of neighbours in it.
 
     The interleave says which shard each place of the merged order comes from. It starts as one shard after the other;
     each round reads the shards' transforms along it and deals the places stably by the symbol read, which sorts by one
-    more symbol (Holt and McMillan 2014). A place's class changes where the symbol or the class it came from changes, so
-    after ``depth`` rounds equal classes are the intervals whose common prefix has ``depth`` symbols or more. No suffix is
-    sorted again. Ends of sequences stay in front, each in a class of its own, and so is what runs into them.
+    more symbol (Holt and McMillan 2014). No suffix is sorted again. A border between two neighbours, once there, stays at
+    its place, as later rounds only part what lies between borders; the round in which it appears says how many symbols
+    the neighbours have in common: entry i is for places i - 1 and i, and ``depth`` where they agree that far. Ends of
+    sequences stay in front with nothing in common, and so does what runs into them.
     """
     joined = np.concatenate(transforms)
     sizes = [len(t) for t in transforms]
@@ -50,21 +51,28 @@ def merge_to_depth(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray
     small = joined.max(initial=0) < 65536
     ended = [int((t == 0).sum()) for t in transforms]  # as many ends as sequences
     front = np.repeat(np.arange(len(sizes), dtype=np.uint16), ended)
+    common = np.full(len(joined), depth, np.int16)
+    common[:1] = 0
     classes = np.zeros(len(joined), np.int64)
     read = np.empty(len(joined), np.uint16 if small else np.int64)
-    for _ in range(depth):
+    for round_ in range(depth):
         read[np.argsort(origin, kind="stable")] = joined
         dealt = np.argsort(read, kind="stable")[len(front) :]
         symbol, came = read[dealt], classes[dealt]
         origin = np.concatenate([front, origin[dealt]])
-        change = np.ones(len(joined), bool)
-        change[len(front) + 1 :] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
-        classes = np.cumsum(change)
-    return origin, classes
+        border = np.ones(len(joined), bool)
+        border[len(front) + 1 :] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
+        common[border & (common > round_)] = round_
+        classes = np.cumsum(border)
+    return origin, common
 
 
 def repeated_intervals(sequences: list[np.ndarray], depth: int, shard_symbols: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """class, sequence and position of every place whose first ``depth`` symbols occur at two places or more."""
+    """interval, sequence and position of every place whose first ``depth`` symbols occur at two places or more.
+
+    Sequences, in the order given, fill shards of about ``shard_symbols``; each shard is transformed and the transforms
+    are merged. Intervals are the runs of neighbours with ``depth`` common symbols.
+    """
     transforms, owners, places = [], [], []
     first = 0
     while first < len(sequences):
@@ -86,10 +94,10 @@ def repeated_intervals(sequences: list[np.ndarray], depth: int, shard_symbols: i
     if not transforms:
         none = np.zeros(0, np.int64)
         return none, none, none
-    origin, classes = merge_to_depth(transforms, depth)
+    origin, common = merge_to_depth(transforms, depth)
     back = np.argsort(origin, kind="stable")  # places of the merged order, shard by shard
     owner, place = np.empty(len(origin), np.int64), np.empty(len(origin), np.int64)
     owner[back], place[back] = np.concatenate(owners), np.concatenate(places)
-    _, inverse, counts = np.unique(classes, return_inverse=True, return_counts=True)
-    many = counts[inverse] > 1
-    return classes[many], owner[many], place[many]
+    goes_on = common >= depth
+    many = goes_on | np.append(goes_on[1:], False)
+    return np.cumsum(~goes_on)[many], owner[many], place[many]

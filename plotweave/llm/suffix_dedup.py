@@ -1,7 +1,8 @@
-"""Removal of byte strings that start at two places or more, by merged Burrows-Wheeler transforms of candidate contexts."""
+"""Strings that start at two places or more, by merged Burrows-Wheeler transforms of candidate contexts."""
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,20 +14,47 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._shared import Scratch, slices
 from .bwt import repeated_intervals
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
-#: A string is filed under the leftmost least hash of its GRAM-byte substrings; it has LENGTH - GRAM + 1 of them.
-GRAM = 200
-#: Anchors with more than MANY distinct contexts are filed anew under longer substrings, in the end under the string itself.
-FINER = (360, 392, 400)
-#: Bytes of a symbol, and whole symbols in any string of LENGTH bytes once symbols are aligned with its anchor.
-CELL = 16
-CORE = LENGTH // CELL - 1
-#: Symbols of a block that one merge takes, and distinct contexts of an anchor that it takes together.
-BLOCK_SYMBOLS, MANY = 48_000, 256
-#: Texts are cut into runs of so many starting points.
-SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
+_LOW = np.uint64((1 << 20) - 1)
+_WHITE = r"[\x09-\x0D]"
+
+
+@dataclasses.dataclass(frozen=True)
+class Rule:
+    """What counts as repeated, and the sizes by which the work is cut. Results depend on ``length`` and ``words`` alone."""
+
+    #: Units of a string that counts as repeated; units are bytes, or words where ``words``.
+    length: int = 400
+    words: bool = False
+    #: A string is filed under the leftmost least hash of its ``gram``-unit substrings.
+    gram: int = 200
+    #: Units of a symbol of the transforms.
+    cell: int = 16
+    #: Symbols of a block that one merge takes, and distinct contexts of an anchor that stay together.
+    block: int = 48_000
+    many: int = 512
+    #: Texts are cut into runs of so many starting points (below 2**20 - length).
+    segment: int = 1 << 19
+
+    @property
+    def width(self) -> int:
+        """Distances that an anchor may have from the start of its string."""
+        return self.length - self.gram + 1
+
+    @property
+    def unit(self) -> int:
+        """Bytes of a unit."""
+        return 8 if self.words else 1
+
+    @property
+    def depth(self) -> int:
+        """Whole symbols in any string, once symbols are aligned with its anchor."""
+        return self.length // self.cell - 1 if self.cell > 1 else self.length
+
+
+BYTES = Rule()
+#: Passages: 50 consecutive words.
+WORDS = Rule(length=50, words=True, gram=20, cell=1)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -40,7 +68,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A mixed polynomial hash of each substring of ``length`` bytes."""
+    """A mixed polynomial hash of each substring of ``length`` units."""
     n = len(data)
     power, inverse = _power(n + 1)
     before = np.zeros(n + 1, np.uint64)
@@ -50,99 +78,126 @@ def _gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(text: bytes, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+def anchors(data: np.ndarray, rule: Rule = BYTES) -> Iterator[tuple[int, int, int, int]]:
     """(hash, first start, starts, place of the anchor behind the first start) of runs of strings with the same anchor.
 
-    Which substring is a string's anchor depends on its own bytes alone, so equal strings have equal anchors at equal
-    distances from their starts, and every starting point is in exactly one run.
+    Which substring is a string's anchor depends on its own units alone, so equal strings have equal anchors at equal
+    distances from their starts, and every starting point is in exactly one run of ``rule.width`` starts at most.
     """
-    width = LENGTH - gram + 1
-    for base in range(0, max(0, len(text) - LENGTH + 1), SEGMENT):
-        data = np.frombuffer(text, np.uint8, min(SEGMENT + LENGTH - 1, len(text) - base), base)
-        full = _gram_hashes(data, gram)
+    for base in range(0, max(0, len(data) - rule.length + 1), rule.segment):
+        part = data[base : base + rule.segment + rule.length - 1]
+        full = _gram_hashes(part, rule.gram)
         # the place in the low bits makes the leftmost of equal hashes the least
-        least = (full & ~np.uint64((1 << 20) - 1)) | np.arange(len(full), dtype=np.uint64)
-        n, span = len(data) - LENGTH + 1, 1
-        while span * 2 <= width:
+        least = (full & ~_LOW) | np.arange(len(full), dtype=np.uint64)
+        n, span = len(part) - rule.length + 1, 1
+        while span * 2 <= rule.width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
-        least = np.minimum(least[:n], least[width - span : width - span + n])
-        at = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
+        least = np.minimum(least[:n], least[rule.width - span : rule.width - span + n])
+        at = (least & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         for a, b, p in zip(first.tolist(), np.append(first[1:], n).tolist(), at[first].tolist()):
             yield int(full[p].view(np.int64)), base + a, b - a, p - a
 
 
-_OCCURRENCE = [("h", T.LongType(), pa.int64()), ("c1", T.LongType(), pa.int64()), ("c2", T.LongType(), pa.int64()), ("at", T.LongType(), pa.int64()), ("n", T.IntegerType(), pa.int32()), ("off", T.IntegerType(), pa.int32())]
+def units(texts: pa.Array, rule: Rule) -> list[np.ndarray]:
+    """The units of each text: its UTF-8 bytes, or 64-bit hashes of its words (runs of all but space and the codes 9 to 13). Null has none."""
+    if not rule.words:
+        return [np.frombuffer(t.as_py() or b"", np.uint8) for t in texts.cast(pa.binary())]
+    lists = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), _WHITE, " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    worded = np.fromiter((bool(w) for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    keep = worded[at] if len(at) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
+    return np.split(hashed[at][keep] if len(at) else np.zeros(0, np.uint64), ends[1:-1]) if len(texts) else []
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, th and a row for each run of ``anchors``: anchor, 128-bit hash of its context, first start, starts, offset."""
+def _signed(h: int) -> tuple[int, int]:
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+
+
+_OCCURRENCE = [("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("off", pa.int32())]
+_SPARK = {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.binary(): T.BinaryType()}
+_PLACE = ("dk", "th", "at", "n", "off")
+
+
+def _fields(columns) -> list[T.StructField]:
+    return [T.StructField(n, _SPARK[t]) for n, t in columns]
+
+
+def _occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
+    """dk, th and a row for each run of ``anchors``: anchor, 128-bit hash of its context, first start, starts, offset."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 index, cols = [], [[] for _ in _OCCURRENCE]
-                for i, text in enumerate(part["text"].cast(pa.binary())):
-                    if text.is_valid and (data := text.as_py()) and len(data) >= LENGTH:
+                for i, data in enumerate(units(part["text"], rule)):
+                    if len(data) >= rule.length:
                         view = memoryview(data)
-                        for h, at, n, off in anchors(data):
-                            c = xxhash.xxh3_128_intdigest(view[at : at + n + LENGTH - 1])
+                        for h, at, n, off in anchors(data, rule):
+                            c1, c2 = _signed(xxhash.xxh3_128_intdigest(view[at : at + n + rule.length - 1]))
                             index.append(i)
-                            for col, v in zip(cols, (h, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), at, n, off)):
+                            for col, v in zip(cols, (h, c1, c2, at, n, off)):
                                 col.append(v)
                 taken = pa.array(index, pa.int32())
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(taken), part["th"].take(taken), *(pa.array(c, t) for c, (_, _, t) in zip(cols, _OCCURRENCE))], names=["doc_id", "th", *(n for n, _, _ in _OCCURRENCE)])
+                yield pa.RecordBatch.from_arrays([part["dk"].take(taken), part["th"].take(taken), *(pa.array(c, t) for c, (_, t) in zip(cols, _OCCURRENCE))], names=["dk", "th", *(n for n, _ in _OCCURRENCE)])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.LongType()), *(T.StructField(n, t) for n, t, _ in _OCCURRENCE)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), *_fields(_OCCURRENCE)]))
 
 
-def repeated_starts(contexts: list[tuple[bytes, int, int, int]]) -> list[np.ndarray]:
-    """For each context (bytes, offset of its anchor, starts, times it occurs) which of its starts have a string that occurs twice or more here.
+def repeated_starts(contexts: list[tuple[np.ndarray, int, int]], rule: Rule = BYTES) -> list[np.ndarray]:
+    """For each context (units, offset of its anchor, starts) which of its starts have a string that occurs twice or more here.
 
-    Symbols are runs of CELL bytes aligned with the anchor. A string has CORE whole symbols, so equal strings lie in one
-    interval of the merged transforms whose common prefix is CORE symbols; the CELL bytes of the string before and behind
-    them are then compared as they are.
+    Symbols are runs of ``rule.cell`` units aligned with the anchor. A string has ``rule.depth`` whole symbols, so equal
+    strings lie in one interval of the merged transforms whose common prefix is that many symbols; the units of the
+    string before and behind them are then compared as they are.
     """
-    out = [np.zeros(n, bool) for _, _, n, _ in contexts]
+    out = [np.zeros(n, bool) for _, _, n in contexts]
+    cell, depth = rule.cell, rule.depth
     base, cells, held = [], [], 0
-    for data, off, _, _ in contexts:
-        skip = off % CELL
+    for data, off, _ in contexts:
+        skip = off % cell
         base.append(held + skip)
-        cells.append((len(data) - skip) // CELL)
+        cells.append((len(data) - skip) // cell)
         held += len(data)
-    flat = np.frombuffer(b"".join(c[0] for c in contexts) + bytes(LENGTH), np.uint8)
-    taken = np.concatenate([np.arange(m) * CELL + b for m, b in zip(cells, base)]) if cells else np.zeros(0, np.int64)
-    words = np.ascontiguousarray(flat[taken[:, None] + np.arange(CELL)]).view(np.uint64)
-    order = np.lexsort((words[:, 1], words[:, 0]))
+    kind = np.uint64 if rule.words else np.uint8
+    flat = np.concatenate([*(c[0] for c in contexts), np.zeros(rule.length, kind)]).astype(kind)
+    taken = np.concatenate([np.arange(m) * cell + b for m, b in zip(cells, base)]) if cells else np.zeros(0, np.int64)
+    if not len(taken):
+        return out
+    words = np.ascontiguousarray(flat[taken[:, None] + np.arange(cell)]).view(np.uint64)
+    order = np.lexsort(words.T[::-1])
     line = words[order]
     symbol = np.empty(len(order), np.int64)
-    symbol[order] = np.cumsum(np.concatenate([[1], (line[1:] != line[:-1]).any(1)])) if len(order) else 0
+    symbol[order] = np.cumsum(np.concatenate([[1], (line[1:] != line[:-1]).any(1)]))
     bounds = np.concatenate([[0], np.cumsum(cells)]).astype(np.int64)
-    interval, owner, place = repeated_intervals([symbol[a:b] for a, b in zip(bounds, bounds[1:])], CORE)
+    interval, owner, place = repeated_intervals([symbol[a:b] for a, b in zip(bounds, bounds[1:])], depth)
     if not len(interval):
         return out
     starts = np.concatenate([[0], np.cumsum([len(c[0]) for c in contexts])])[:-1]
-    core = np.asarray(base)[owner] + place * CELL
-    lead = np.arange(CELL)  # bytes of the string before its first whole symbol
+    core = np.asarray(base)[owner] + place * cell
+    lead = np.arange(cell)  # units of the string before its first whole symbol
     start = core[:, None] - lead - starts[owner][:, None]
     fits = (start >= 0) & (start < np.array([c[2] for c in contexts])[owner][:, None])
     row, k = np.nonzero(fits)
-    rim = np.arange(CELL)
-    where = np.where(rim < lead[k][:, None], core[row][:, None] - lead[k][:, None] + rim, core[row][:, None] + CORE * CELL + rim - lead[k][:, None])
-    rims = np.ascontiguousarray(flat[where]).view(np.uint64)
-    order = np.lexsort((k, rims[:, 1], rims[:, 0], interval[row]))
+    columns = [interval[row], k]
+    if rim := rule.length - depth * cell:
+        edge = np.arange(rim)
+        where = np.where(edge < lead[k][:, None], core[row][:, None] - lead[k][:, None] + edge, core[row][:, None] + depth * cell + edge - lead[k][:, None])
+        columns += list(np.ascontiguousarray(flat[where]).view(np.uint64).T)
+    order = np.lexsort(columns)
     new = np.ones(len(order), bool)
-    for column in (k, rims[:, 1], rims[:, 0], interval[row]):
+    for column in columns:
         c = column[order]
         new[1:] &= c[1:] == c[:-1]
     new[1:] = ~new[1:]
     group = np.cumsum(new) - 1
-    times = np.array([c[3] for c in contexts], np.int64)[owner[row]]
     twice = np.empty(len(order), bool)
-    twice[order] = np.bincount(group, weights=times[order])[group] >= 2
-    for i, s in zip(owner[row[twice]], start[row[twice], k[twice]]):
+    twice[order] = np.bincount(group)[group] >= 2
+    for i, s in zip(owner[row[twice]].tolist(), start[row[twice], k[twice]].tolist()):
         out[i][s] = True
     return out
 
@@ -152,153 +207,229 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-_CONTEXT = [("h", T.LongType(), pa.int64()), ("c1", T.LongType(), pa.int64()), ("c2", T.LongType(), pa.int64()), ("off", T.IntegerType(), pa.int32()), ("n", T.IntegerType(), pa.int32()), ("times", T.LongType(), pa.int64()), ("kinds", T.LongType(), pa.int64()), ("data", T.BinaryType(), pa.binary())]
-_RANGES = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h", "c1", "c2")), T.StructField("runs", T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])))])
+_KEY = ["h", "c1", "c2"]
+#: A context's bytes: one row for each of the two places at most that are read of it.
+_CONTEXT = [("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("copy", pa.int32()), ("n", pa.int32()), ("off", pa.int32()), ("data", pa.binary())]
 _RUNS_PA = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+_RUNS = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
+_RANGES = T.StructType([*(T.StructField(c, T.LongType()) for c in _KEY), T.StructField("runs", _RUNS)])
+
 
+def _two_places(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """One row for each key and copy: the least and, where there are more, the greatest place, with their number."""
+    one = rows.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct(*place)).alias("one"), F.max(F.struct(*place)).alias("two"))
+    copies = F.when(F.col("times") > 1, F.array(F.struct(F.lit(0).alias("copy"), F.col("one").alias("p")), F.struct(F.lit(1).alias("copy"), F.col("two").alias("p")))).otherwise(F.array(F.struct(F.lit(0).alias("copy"), F.col("one").alias("p"))))
+    return one.select(*key, "times", F.inline(copies)).select(*key, "times", "copy", "p.*")
 
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of contexts, cut from one document that holds each: _CONTEXT."""
-    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", *(n for n, _, _ in _CONTEXT[:-1]))).alias("cuts")).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["th"] == F.col("_th"))).select("text", "cuts")
+
+def _unsettled(distinct: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows of keys that occur twice or share their anchor with another key, with ``kinds``, the anchor's distinct keys. The rest is unique and leaves.
+
+    The count by anchor is written, so that the join has two plain exchanges and the planner may split a hot anchor.
+    """
+    per = scratch.cut(distinct.where("copy = 0").groupBy("h").agg(F.count("*").alias("kinds"), F.max("times").alias("most")).where("kinds > 1 OR most > 1").select("h", "kinds"), name)
+    return distinct.join(per, "h").where("kinds > 1 OR times > 1")
+
+
+def _fetch(base: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
+    """The units of contexts, cut from the documents that hold them: _CONTEXT. Of repeated rows a task reads one."""
+    lists = wanted.groupBy("dk", "th").agg(F.collect_list(F.struct("at", *(n for n, _ in _CONTEXT[:-1]))).alias("cuts"))
 
     def run(batches):
+        seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [cut | {"data": data[cut["at"] : cut["at"] + cut["n"] + LENGTH - 1]} for data, cuts in zip(part["text"].cast(pa.binary()).to_pylist(), part["cuts"].to_pylist()) for cut in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, _, t in _CONTEXT], names=[n for n, _, _ in _CONTEXT])
+                rows = []
+                fresh = [k not in seen and not seen.add(k) for k in zip(part["dk"].to_pylist(), part["th"].to_pylist())]
+                part = part.filter(pa.array(fresh))
+                for data, cuts in zip(units(part["text"], rule), part["cuts"].to_pylist()):
+                    rows += [cut | {"data": data[cut["at"] : cut["at"] + cut["n"] + rule.length - 1].tobytes()} for cut in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in _CONTEXT], names=[n for n, _ in _CONTEXT])
 
-    return joined.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t, _ in _CONTEXT]))
+    return base.join(lists, ["dk", "th"]).select("dk", "th", "text", "cuts").mapInArrow(run, T.StructType(_fields(_CONTEXT)))
 
 
-def _merge_blocks(contexts: DataFrame) -> DataFrame:
+def _merge_blocks(contexts: DataFrame, rule: Rule) -> DataFrame:
     """_RANGES of contexts that lie in partitions by anchor, in order of it: whole anchors fill a block, and each block is merged."""
+    kind = np.uint64 if rule.words else np.uint8
 
     def run(batches):
         block, symbols, now = [], 0, None
 
         def out():
-            flags = repeated_starts([(r["data"], r["off"], r["n"], r["times"]) for r in block])
-            found = [(r, _runs(f)) for r, f in zip(block, flags) if f.any()]
-            return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r, _ in found], pa.int64()) for c in ("h", "c1", "c2")), pa.array([[{"lo": a, "hi": b} for a, b in runs] for _, runs in found], _RUNS_PA)], names=["h", "c1", "c2", "runs"])
+            flags = repeated_starts([(np.frombuffer(r["data"], kind), r["off"], r["n"]) for r in block], rule)
+            found = [(r, _runs(f)) for r, f in zip(block, flags) if not r["copy"] and f.any()]
+            return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r, _ in found], pa.int64()) for c in _KEY), pa.array([[{"lo": a, "hi": b} for a, b in runs] for _, runs in found], _RUNS_PA)], names=[*_KEY, "runs"])
 
         for batch in batches:
             for part in slices(batch, "data"):
                 for r in part.to_pylist():
-                    if r["h"] != now and symbols >= BLOCK_SYMBOLS:
+                    if r["h"] != now and symbols >= rule.block:
                         yield out()
                         block, symbols = [], 0
                     now = r["h"]
                     block.append(r)
-                    symbols += len(r["data"]) // CELL + 1
+                    symbols += len(r["data"]) // (rule.cell * rule.unit) + 1
         if block:
             yield out()
 
     return contexts.mapInArrow(run, _RANGES)
 
 
-_FINER = T.StructType([*(T.StructField(c, T.LongType()) for c in ("h", "c1", "c2")), T.StructField("s", T.IntegerType()), T.StructField("times", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("h_", "c1_", "c2_")), *(T.StructField(c, T.IntegerType()) for c in ("n_", "off_")), T.StructField("data", T.BinaryType())])
-_FINER_PA = pa.schema([("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("s", pa.int32()), ("times", pa.int64()), ("h_", pa.int64()), ("c1_", pa.int64()), ("c2_", pa.int64()), ("n_", pa.int32()), ("off_", pa.int32()), ("data", pa.binary())])
+#: The key of the context that a part was cut from, the part's first start in it, the part's own key and context.
+_PART = [("h0", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("copy0", pa.int32()), ("s", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("data", pa.binary())]
 
 
-def _file_anew(contexts: DataFrame, gram: int) -> DataFrame:
-    """_FINER: the contexts cut into runs whose anchors are substrings of ``gram`` bytes, each with the start it has in its context."""
+def _part(contexts: DataFrame, rule: Rule, step: int) -> DataFrame:
+    """_PART: contexts cut where the distance of a start from its anchor passes a multiple of ``step``.
+
+    All strings of a part hold the same substring of length - step + 1 units, under whose hash the part is filed.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "data", 1 << 19):
-                cols = [[] for _ in _FINER_PA]
+                cols = [[] for _ in _PART]
                 for r in part.to_pylist():
-                    for h, s, n, off in anchors(r["data"], gram):
-                        data = r["data"][s : s + n + LENGTH - 1]
-                        c = xxhash.xxh3_128_intdigest(data)
-                        for col, v in zip(cols, (r["h"], r["c1"], r["c2"], s, r["times"], h, (c >> 64) - (1 << 63), (c & (1 << 64) - 1) - (1 << 63), n, off, data)):
+                    view, n, off = memoryview(r["data"]), r["n"], r["off"]
+                    cut = lambda a, b: view[a * rule.unit : b * rule.unit]
+                    for k in range((off - n + 1) // step, off // step + 1):
+                        a, b = max(0, off - (k + 1) * step + 1), min(n, off - k * step + 1)
+                        h = xxhash.xxh3_64_intdigest(cut(off - k * step, off - (k + 1) * step + 1 + rule.length), step << 20 | k)
+                        data = cut(a, b + rule.length - 1)
+                        c1, c2 = _signed(xxhash.xxh3_128_intdigest(data))
+                        for col, v in zip(cols, (r["h"], r["c1"], r["c2"], r["copy"], a, h - (1 << 63), c1, c2, b - a, off - a, bytes(data))):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FINER_PA)], schema=_FINER_PA)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _PART)], names=[n for n, _ in _PART])
 
-    return contexts.mapInArrow(run, _FINER)
+    return contexts.mapInArrow(run, T.StructType(_fields(_PART)))
 
 
-def _ranges(contexts: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
-    """_RANGES of contexts of anchors with two distinct contexts or more, given with ``kinds``, the number of these.
+#: Adjacent and overlapping runs as one.
+_JOINED = "aggregate(array_sort(runs), cast(array() AS array<struct<lo:int,hi:int>>), (a, r) -> IF(size(a) > 0 AND element_at(a, -1).hi >= r.lo, concat(slice(a, 1, size(a) - 1), array(named_struct('lo', element_at(a, -1).lo, 'hi', greatest(element_at(a, -1).hi, r.hi)))), concat(a, array(r))))"
 
-    Anchors that MANY contexts share at most are dealt to blocks. Contexts of the others are filed under longer
-    substrings: contexts that differ only far from a string part ways, equal parts of them become one row with their sum,
-    and no task ever holds an anchor's contexts beyond MANY. The last level files each string under itself.
+
+def _ranges(contexts: DataFrame, scratch: Scratch, rule: Rule, step: int, level: int = 0) -> DataFrame:
+    """_RANGES of _CONTEXT with ``kinds``, the distinct contexts of the anchor; one row for each context that has any.
+
+    Anchors that ``rule.many`` contexts share at most go to blocks. Contexts of the others are parted by the distance from
+    the anchor and filed under the longer substring that all strings of a part hold; equal parts become one, with two
+    places, and parts that are alone leave. So no task ever holds an anchor's contexts beyond ``rule.many``, and the
+    merged transforms decide all the same; with steps of one start a part is a string, and equal ones are one row.
     """
-    last = level == len(FINER)
-    few = contexts if last else contexts.where(f"kinds <= {MANY}")
-    out = _merge_blocks(few.select(*(n for n, _, _ in _CONTEXT if n != "kinds")).repartition("h").sortWithinPartitions("h"))
-    many = contexts.where(f"kinds > {MANY}")
-    if last or not many.take(1):
+    columns = [n for n, _ in _CONTEXT]
+    out = _merge_blocks(contexts.where(f"kinds <= {rule.many}").select(*columns).repartition("h").sortWithinPartitions("h"), rule)
+    many = contexts.where(f"kinds > {rule.many}")
+    if not many.take(1):
         return out
-    finer = scratch.cut(_file_anew(many.select("h", "c1", "c2", "times", "data"), FINER[level]), f"finer{level}")
-    key, key_ = ["h", "c1", "c2"], ["h_", "c1_", "c2_"]
-    distinct = finer.groupBy(*key_).agg(F.sum("times").alias("times"), F.first("n_").alias("n"), F.first("off_").alias("off"), F.first("data").alias("data"))
-    kinds = finer.select(*key_).distinct().groupBy("h_").agg(F.count("*").alias("kinds"))
-    distinct = scratch.cut(distinct.join(kinds, "h_").withColumnsRenamed(dict(zip(key_, key))), f"distinct{level}")
-    whole = distinct.where("times > 1").select(*key, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    inner = _ranges(distinct.where("kinds > 1"), scratch, level + 1).union(whole)
-    placed = finer.select(*key, "s", *key_).join(inner.withColumnsRenamed(dict(zip(key, key_))), key_)
+    step = max(1, (step + 3) // 4)
+    parts = scratch.cut(_part(many.select(*columns), rule, step), f"parts{level}")
+    distinct = scratch.cut(_two_places(parts, _KEY, ["h0", "d1", "d2", "copy0", "s", "n", "off", "data"]).drop("h0", "d1", "d2", "copy0", "s"), f"distinct{level}")
+    inner = scratch.cut(_ranges(_unsettled(distinct, scratch, f"kinds{level}"), scratch, rule, step, level + 1), f"inner{level}")
+    placed = parts.where("copy0 = 0").select("h0", "d1", "d2", "s", *_KEY).join(inner, _KEY)
     moved = F.transform("runs", lambda r: F.struct((r["lo"] + F.col("s")).alias("lo"), (r["hi"] + F.col("s")).alias("hi")))
-    return out.union(placed.select(*key, moved.alias("runs")).groupBy(*key).agg(F.flatten(F.collect_list("runs")).alias("runs")))
+    whole = placed.select(F.col("h0").alias("h"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), moved.alias("runs")).groupBy(*_KEY).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return out.union(whole.select(*_KEY, F.expr(_JOINED).alias("runs")))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (start and end of removed bytes, maximal and in order) and kept (the bytes that stay) for every row.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, its null-safe key dk, text (null: empty) and the text's hash th."""
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("dk"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
-    A byte goes if a LENGTH-byte string that covers it also starts at another place, in the same text or in any other;
-    places are judged on the input. Texts are their UTF-8 bytes; null is empty; matches stay within a text; repeated rows
-    are documents of their own and so repeat each other; shorter texts stay whole; other columns are dropped.
+
+def repeat_places(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """dk, th and ``found``, an array of (at, runs): the starts at + lo to at + hi - 1 of strings that start at two places or more.
 
     1. Each starting point is filed under its string's anchor; a run of starts with one anchor is a context. Equal strings
        share the anchor, so contexts whose anchor occurs once are done: most of a corpus leaves here, as a few numbers.
-    2. Distinct contexts of the other anchors are fetched once each and dealt by anchor. Tasks fill blocks with whole
-       anchors, transform shards of a block, and merge the transforms; the intervals give the repeated strings.
-    3. A context that occurs twice is repeated throughout. Contexts of an anchor that more than MANY share never meet in
-       one task: see ``_ranges``.
+       This is all that hashes decide.
+    2. Contexts of the other anchors are read, each at two of its places at most (more can't change what is repeated),
+       and dealt by anchor: a partition holds a key range of all suffixes. Tasks fill blocks with whole anchors, transform
+       the shards of a block, and merge the transforms; intervals of enough common symbols give the repeated strings.
+    3. Every place of a context takes its context's starts.
     """
-    scratch = Scratch(docs.sparkSession, "repeats")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    every = scratch.cut(_occurrences(base), "every")
-    again = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    every = scratch.cut(_occurrences(base, rule), "every")
+    again = scratch.cut(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     seen = scratch.cut(every.join(again, "h"), "seen")
     scratch.drop("every")
-    key = ["h", "c1", "c2"]
-    distinct = seen.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "at", "n", "off")).alias("one"))
-    per = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    shared = scratch.cut(distinct.join(per, "h").select(*key, "times", "kinds", "one.*"), "shared")
-    wanted = shared.where("kinds > 1").select(*key, "times", "doc_id", "th", "at", "n", "off", "kinds")
-    contexts = scratch.cut(_fetch(base, wanted), "contexts")
-    whole = shared.where("times > 1").select(*key, F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    ranges = scratch.cut(_ranges(contexts, scratch).union(whole), "ranges")
-    scratch.drop("contexts", "shared", *(f"{t}{k}" for k in range(len(FINER)) for t in ("finer", "distinct")))
-    places = seen.select("doc_id", "th", "at", *key).join(ranges, key).select("doc_id", "th", F.explode("runs").alias("r"), "at").groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))).alias("starts"))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.array_sort("starts").alias("starts"))
-    joined = base.join(places, base["doc_id"].eqNullSafe(F.col("_id")) & (base["th"] == F.col("_th")), "left").select("doc_id", "text", F.col("starts.lo").alias("lo"), F.col("starts.hi").alias("hi"))
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    spans_pa = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    distinct = scratch.cut(_two_places(seen, _KEY, list(_PLACE)), "distinct")
+    wanted = scratch.cut(_unsettled(distinct, scratch, "kinds"), "wanted")
+    contexts = _fetch(base, wanted.select(*_PLACE, *_KEY, "copy"), rule)
+    kinds = wanted.where("copy = 0").select("h", "kinds").distinct()
+    contexts = scratch.cut(contexts, "contexts").join(scratch.cut(kinds.where(f"kinds > {rule.many}"), "hot"), "h", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1).cast("long")))
+    ranges = scratch.cut(_ranges(contexts, scratch, rule, rule.width), "ranges")
+    found = seen.select("dk", "th", "at", *_KEY).join(ranges, _KEY).groupBy("dk", "th").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
+    out = scratch.cut(found, "found")
+    scratch.drop("again", "seen", "distinct", "kinds", "wanted", "contexts", "hot", "ranges", *(f"{t}{k}" for k in range(8) for t in ("parts", "distinct", "kinds", "inner")))
+    return out
+
+
+def spans_of(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Maximal spans, in order, that the strings at the starts ``found`` (of one document) cover."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted({(f["at"] + r["lo"], f["at"] + r["hi"] + length - 1) for f in found or () for r in f["runs"]}):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def repeated_passages(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
+    """dk, th (see ``_keyed``) and passages, an array of (start, end) in words, of documents with passages that start elsewhere too.
+
+    A passage is a maximal run of words that strings of ``rule.length`` words cover which also start at another place, in
+    the same text or in any other; white space between words doesn't matter. Nulls, repeated rows and other columns are
+    as in ``remove_repeats``.
+    """
+    return _passages(_keyed(docs), Scratch(docs.sparkSession, "passages"), rule)
+
+
+_SPANS_PA = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _passages(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            rows = [[{"start": a, "end": b} for a, b in spans_of(f, rule.length)] for f in batch["found"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["dk"], batch["th"], pa.array(rows, _SPANS_PA)], names=["dk", "th", "passages"])
+
+    return repeat_places(base, scratch, rule).mapInArrow(run, T.StructType([T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), T.StructField("passages", _SPANS)]))
+
+
+def remove_repeats(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
+    """doc_id, dk, th (see ``_keyed``), n_bytes, spans (start and end of removed bytes, maximal and in order) and kept (the bytes that stay) for every row.
+
+    A byte goes if a ``rule.length``-byte string that covers it also starts at another place, in the same text or in any
+    other; places are judged on the input. Texts are their UTF-8 bytes; null is empty; matches stay within a text; repeated
+    rows are documents of their own and so repeat each other; shorter texts stay whole; very long texts are cut into
+    overlapping segments; an empty table gives an empty one; other columns, whatever their names, are dropped.
+    """
+    base = _keyed(docs)
+    places = repeat_places(base, Scratch(docs.sparkSession, "repeats"), rule)
+    joined = base.join(places, ["dk", "th"], "left").select("doc_id", "dk", "th", "text", "found")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("kept", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 spans, kept = [], []
-                for data, lo, hi in zip(part["text"].cast(pa.binary()).to_pylist(), part["lo"].to_pylist(), part["hi"].to_pylist()):
-                    own: list[list[int]] = []
-                    for a, b in zip(lo or (), hi or ()):
-                        if own and a <= own[-1][1]:
-                            own[-1][1] = max(own[-1][1], b + LENGTH - 1)
-                        else:
-                            own.append([a, b + LENGTH - 1])
+                for data, found in zip(part["text"].cast(pa.binary()).to_pylist(), part["found"].to_pylist()):
+                    own = spans_of(found, rule.length)
                     spans.append([{"start": a, "end": b} for a, b in own])
                     edges = [0, *(e for s in own for e in s), len(data)]
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pc.cast(pc.binary_length(part["text"]), pa.int64()), pa.array(spans, spans_pa), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+                sizes = pc.cast(pc.binary_length(part["text"]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["dk"], part["th"], sizes, pa.array(spans, _SPANS_PA), pa.array(kept, pa.binary())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
-def repeats_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns from the spans and kept bytes."""
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+def repeats_digest(docs: DataFrame, rule: Rule = BYTES, words: Rule = WORDS) -> DataFrame:
+    """The contract's columns from the spans and kept bytes, then n_passages and n_passage_words of ``repeated_passages``."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    passages = repeated_passages(docs, words).select("dk", "th", F.size("passages").cast("long").alias("n_passages"), total("passages").alias("n_passage_words"))
+    removed = remove_repeats(docs, rule).select("doc_id", "dk", "th", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return removed.join(passages, ["dk", "th"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", none("n_passages"), none("n_passage_words"))

@@ -1,5 +1,6 @@
-"""Repeated byte strings against a table of all of them, and merged transforms against sorted suffixes."""
+"""Repeated strings against a table of all of them, and merged transforms against sorted suffixes."""
 
+import dataclasses
 import hashlib
 import random
 from collections import Counter
@@ -23,19 +24,28 @@ def test_merge_gives_the_intervals(seed):
         assert len(set(got.values())) == len(set(want.values())) == len({(got[k], want[k]) for k in got})
 
 
-def brute(texts):
-    data = [(t or "").encode() for t in texts]
-    seen = Counter(d[i : i + sd.LENGTH] for d in data for i in range(len(d) - sd.LENGTH + 1))
+def covered(units, length):
+    """For each sequence, the flags of units that a string covers which starts at two places or more."""
+    seen = Counter(tuple(u[i : i + length]) if isinstance(u, list) else u[i : i + length] for u in units for i in range(len(u) - length + 1))
     out = []
-    for d in data:
-        gone = np.zeros(len(d) + 1, bool)
-        for i in range(len(d) - sd.LENGTH + 1):
-            if seen[d[i : i + sd.LENGTH]] > 1:
-                gone[i : i + sd.LENGTH] = True
-        out.append((len(d), int(gone.sum()), len(sd._runs(gone)), hashlib.sha256(bytes(b for b, g in zip(d, gone) if not g)).hexdigest()))
+    for u in units:
+        gone = np.zeros(len(u) + 1, bool)
+        for i in range(len(u) - length + 1):
+            if seen[tuple(u[i : i + length]) if isinstance(u, list) else u[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(gone)
     return out
 
 
+def brute(texts, length=400, words=50):
+    data = [(t or "").encode() for t in texts]
+    split = [d.split() for d in data]
+    return [
+        (len(d), int(g.sum()), len(sd._runs(g)), hashlib.sha256(bytes(b for b, x in zip(d, g) if not x)).hexdigest(), len(sd._runs(w)), int(w.sum()))
+        for d, g, w in zip(data, covered(data, length), covered(split, words))
+    ]
+
+
 def corpus(rng):
     say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     passages = [say(n) for n in (380, 399, 400, 401, 450, 900, 2500)]
@@ -46,23 +56,24 @@ def corpus(rng):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = rng.choice("XYZ")
         texts.append("".join(w))
+    # a passage in many surroundings, so that its anchors have many contexts
+    hot = say(430)
+    texts += [say(rng.randint(150, 400)) + hot[rng.randint(0, 40) :] + say(rng.randint(150, 400)) for _ in range(30)]
     texts += [texts[3], texts[3], None, "", "short", "a" * 1500, "ab" * 400, "x" + "ab" * 230, passages[5][:399], passages[5][1:401], say(399), say(400)]
     period = say(410)
-    return [*texts, period * 4, say(30_000) + passages[6][100:700] + say(200)]
+    return [*texts, period * 4, say(30_000) + passages[6][100:700] + say(200), " ".join(say(30_000).split(" ")[:70]) + "\n\t" + passages[6].replace(" ", "\n "), "one two " * 60]
 
 
-@pytest.mark.parametrize("many,segment,block", [(256, 1 << 19, 48_000), (1, 700, 50), (6, 5000, 400)])
-def test_digest(spark, monkeypatch, many, segment, block):
-    monkeypatch.setattr(sd, "MANY", many)
+@pytest.mark.parametrize("many,segment,block", [(512, 1 << 19, 48_000), (1, 700, 50), (6, 5000, 400)])
+def test_digest(spark, many, segment, block):
+    rule, words = (dataclasses.replace(r, many=many, segment=segment, block=block) for r in (sd.BYTES, sd.WORDS))
     texts = corpus(random.Random(many))
-    # workers import the module anew, so its parameters are checked here without Spark as well
-    for name, value in (("SEGMENT", segment), ("BLOCK_SYMBOLS", block)):
-        monkeypatch.setattr(sd, name, value)
-    long = max(texts, key=lambda t: len(t or "")).encode()
-    runs = list(sd.anchors(long))
-    assert [r[1] for r in runs] == [0, *np.cumsum([r[2] for r in runs])[:-1]] and sum(r[2] for r in runs) == len(long) - sd.LENGTH + 1
+    long = np.frombuffer(max(texts, key=lambda t: len(t or "")).encode(), np.uint8)
+    runs = list(sd.anchors(long, rule))
+    assert [r[1] for r in runs] == [0, *np.cumsum([r[2] for r in runs])[:-1]] and sum(r[2] for r in runs) == len(long) - rule.length + 1
+    assert max(r[2] for r in runs) <= rule.width
     rows = [(i if t != "short" else None, t, "a", "b", "c") for i, t in enumerate(texts)]
-    got = sd.repeats_digest(spark.createDataFrame(rows, "doc_id long, text string, th string, h string, spans string")).collect()
+    got = sd.repeats_digest(spark.createDataFrame(rows, "doc_id long, text string, th string, h string, spans string"), rule, words).collect()
     want = dict(zip((r[0] for r in rows), brute(texts)))
     assert len(got) == len(texts)
     for r in got:
@@ -70,7 +81,18 @@ def test_digest(spark, monkeypatch, many, segment, block):
 
 
 def test_repeated_rows_and_empty(spark):
-    t = "".join(random.Random(1).choices("abcdef", k=500))
+    t = "".join(random.Random(1).choices("abcdef ", k=500))
     df = spark.createDataFrame([(1, t), (1, t), (2, None)], "doc_id long, text string")
-    assert sorted(map(tuple, sd.repeats_digest(df).select("doc_id", "n_removed", "n_spans").collect())) == [(1, 500, 1), (1, 500, 1), (2, 0, 0)]
+    assert sorted(map(tuple, sd.repeats_digest(df).select("doc_id", "n_removed", "n_spans", "n_passages").collect())) == [(1, 500, 1, 1), (1, 500, 1, 1), (2, 0, 0, 0)]
     assert sd.repeats_digest(df.limit(0)).count() == 0
+
+
+def test_places_are_kept_by_content():
+    """Equal strings under unequal anchors' places don't meet; a context given twice is repeated throughout, by its units."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 255, 700).astype(np.uint8)
+    other = data.copy()
+    other[350] ^= 1
+    once, twice = sd.repeated_starts([(data, 150, 301)]), sd.repeated_starts([(data, 150, 301), (data, 150, 301)])
+    assert not once[0].any() and twice[0].all() and twice[1].all()
+    assert not any(f.any() for f in sd.repeated_starts([(data[:500], 150, 101), (other[:500], 150, 101)]))
