@@ -16,7 +16,6 @@ from .bwt import repeated_intervals
 
 _BASE = 0x9E3779B97F4A7C15
 _LOW = np.uint64((1 << 20) - 1)
-_WHITE = r"[\x09-\x0D]"
 
 
 @dataclasses.dataclass(frozen=True)
@@ -54,7 +53,7 @@ class Rule:
 
 BYTES = Rule()
 #: Passages: 50 consecutive words.
-WORDS = Rule(length=50, words=True, gram=20, cell=1)
+WORDS = Rule(length=50, words=True, gram=10, cell=5)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -73,17 +72,21 @@ def _gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     power, inverse = _power(n + 1)
     before = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=before[1:])
-    h = (before[length:] - before[:-length]) * inverse[: n - length + 1]
+    return _mixed((before[length:] - before[:-length]) * inverse[: n - length + 1])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, rule: Rule = BYTES) -> Iterator[tuple[int, int, int, int]]:
-    """(hash, first start, starts, place of the anchor behind the first start) of runs of strings with the same anchor.
+def anchors(data: np.ndarray, rule: Rule = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first start, starts, and place of the anchor behind the first start, of runs of strings with the same anchor.
 
     Which substring is a string's anchor depends on its own units alone, so equal strings have equal anchors at equal
     distances from their starts, and every starting point is in exactly one run of ``rule.width`` starts at most.
     """
+    found = []
     for base in range(0, max(0, len(data) - rule.length + 1), rule.segment):
         part = data[base : base + rule.segment + rule.length - 1]
         full = _gram_hashes(part, rule.gram)
@@ -93,29 +96,40 @@ def anchors(data: np.ndarray, rule: Rule = BYTES) -> Iterator[tuple[int, int, in
         while span * 2 <= rule.width:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
-        least = np.minimum(least[:n], least[rule.width - span : rule.width - span + n])
-        at = (least & _LOW).astype(np.int64)
+        at = (np.minimum(least[:n], least[rule.width - span : rule.width - span + n]) & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        for a, b, p in zip(first.tolist(), np.append(first[1:], n).tolist(), at[first].tolist()):
-            yield int(full[p].view(np.int64)), base + a, b - a, p - a
+        found.append((full[at[first]].view(np.int64), base + first, np.diff(first, append=n), at[first] - first))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def units(texts: pa.Array, rule: Rule) -> list[np.ndarray]:
     """The units of each text: its UTF-8 bytes, or 64-bit hashes of its words (runs of all but space and the codes 9 to 13). Null has none."""
+    data = [np.frombuffer(t.as_py() or b"", np.uint8) for t in texts.cast(pa.binary())]
     if not rule.words:
-        return [np.frombuffer(t.as_py() or b"", np.uint8) for t in texts.cast(pa.binary())]
-    lists = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), _WHITE, " "), " ")
-    coded = lists.flatten().dictionary_encode()
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    worded = np.fromiter((bool(w) for w in coded.dictionary.to_pylist()), bool, len(coded.dictionary))
-    at = coded.indices.to_numpy(zero_copy_only=False)
-    keep = worded[at] if len(at) else np.zeros(0, bool)
-    ends = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()]
-    return np.split(hashed[at][keep] if len(at) else np.zeros(0, np.uint64), ends[1:-1]) if len(texts) else []
-
-
-def _signed(h: int) -> tuple[int, int]:
-    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
+        return data
+    flat = np.concatenate([x for d in data for x in (d, np.full(1, 32, np.uint8))] or [np.zeros(0, np.uint8)])
+    at, hashed = _words(flat)
+    return np.split(hashed, np.searchsorted(at, np.cumsum([len(d) + 1 for d in data])[:-1])) if data else []
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of words: hashed by eight bytes at a time, and long words as a whole."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.flatnonzero(np.diff(inside))
+    at, left = edge[::2], edge[1::2] - edge[::2]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    out = left.astype(np.uint64)
+    live = np.flatnonzero(left <= 32)
+    for k in range(0, 32, 8):
+        rest = left[live] - k
+        live, rest = live[rest > 0], np.minimum(rest[rest > 0], 8)
+        kept = eights[at[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - rest) * 8).astype(np.uint64))
+        out[live] = _mixed(out[live] * np.uint64(_BASE) + kept)
+    for i in np.flatnonzero(left > 32).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + left[i]])
+    return at, out
 
 
 _OCCURRENCE = [("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("off", pa.int32())]
@@ -133,19 +147,18 @@ def _occurrences(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                index, cols = [], [[] for _ in _OCCURRENCE]
-                for i, data in enumerate(units(part["text"], rule)):
-                    if len(data) >= rule.length:
-                        view = memoryview(data)
-                        for h, at, n, off in anchors(data, rule):
-                            c1, c2 = _signed(xxhash.xxh3_128_intdigest(view[at : at + n + rule.length - 1]))
-                            index.append(i)
-                            for col, v in zip(cols, (h, c1, c2, at, n, off)):
-                                col.append(v)
-                taken = pa.array(index, pa.int32())
-                yield pa.RecordBatch.from_arrays([part["dk"].take(taken), part["th"].take(taken), *(pa.array(c, t) for c, (_, t) in zip(cols, _OCCURRENCE))], names=["dk", "th", *(n for n, _ in _OCCURRENCE)])
+                runs, contexts = [], []
+                for data in units(part["text"], rule):
+                    runs.append(anchors(data, rule))
+                    view = memoryview(data)
+                    contexts += [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(runs[-1][1].tolist(), (runs[-1][1] + runs[-1][2] + rule.length - 1).tolist())]
+                h, at, n, off = (np.concatenate(c) for c in zip(*runs))
+                taken = np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs])
+                c = np.frombuffer(b"".join(contexts), np.int64).reshape(-1, 2)
+                columns = (h, c[:, 0], c[:, 1], at, n, off)
+                yield pa.RecordBatch.from_arrays([part["dk"].take(taken), part["th"].take(taken), *(pa.array(c, t) for c, (_, t) in zip(columns, _OCCURRENCE))], names=["dk", "th", *(n for n, _ in _OCCURRENCE)])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), *_fields(_OCCURRENCE)]))
+    return docs.mapInArrow(run, T.StructType([T.StructField("dk", T.LongType()), T.StructField("th", T.LongType()), *_fields(_OCCURRENCE)]))
 
 
 def repeated_starts(contexts: list[tuple[np.ndarray, int, int]], rule: Rule = BYTES) -> list[np.ndarray]:
@@ -177,29 +190,51 @@ def repeated_starts(contexts: list[tuple[np.ndarray, int, int]], rule: Rule = BY
     interval, owner, place = repeated_intervals([symbol[a:b] for a, b in zip(bounds, bounds[1:])], depth)
     if not len(interval):
         return out
-    starts = np.concatenate([[0], np.cumsum([len(c[0]) for c in contexts])])[:-1]
+    begins = np.concatenate([[0], np.cumsum([len(c[0]) for c in contexts])])[:-1]
+    firsts = np.concatenate([[0], np.cumsum([c[2] for c in contexts])])
     core = np.asarray(base)[owner] + place * cell
-    lead = np.arange(cell)  # units of the string before its first whole symbol
-    start = core[:, None] - lead - starts[owner][:, None]
-    fits = (start >= 0) & (start < np.array([c[2] for c in contexts])[owner][:, None])
-    row, k = np.nonzero(fits)
-    columns = [interval[row], k]
-    if rim := rule.length - depth * cell:
-        edge = np.arange(rim)
-        where = np.where(edge < lead[k][:, None], core[row][:, None] - lead[k][:, None] + edge, core[row][:, None] + depth * cell + edge - lead[k][:, None])
-        columns += list(np.ascontiguousarray(flat[where]).view(np.uint64).T)
+    inner = core - begins[owner]
+    # leads, the units of a string before its first whole symbol, with which its start is one of the context's
+    low, high = np.maximum(0, inner - np.diff(firsts)[owner] + 1), np.minimum(cell - 1, inner)
+    some = low <= high
+    interval, owner, core, inner, low, high = (x[some] for x in (interval, owner, core, inner, low, high))
+    rim, edge = rule.length - depth * cell, np.arange(cell)
+    before = np.where(edge >= cell - high[:, None], flat[core[:, None] - cell + edge], 0).astype(kind)
+    behind = np.where(edge[:rim] < rim - low[:, None], flat[core[:, None] + depth * cell + edge[:rim]], 0).astype(kind)
+    columns = [interval, low, high, *(np.ascontiguousarray(x).view(np.uint64).T for x in (before, behind) if rim)]
+    first, group = _groups(np.vstack([np.asarray(c).view(np.uint64) for c in columns]))
+    many = np.bincount(group) > 1
+    # what surrounds the symbols is the same at two places: their strings are repeated with every lead
+    edges = np.zeros(firsts[-1] + 1, np.int64)
+    at = firsts[owner] + inner
+    same = many[group]
+    np.add.at(edges, (at - high)[same], 1)
+    np.add.at(edges, (at - low)[same] + 1, -1)
+    flags = np.cumsum(edges)[:-1] > 0
+    # of unequal surroundings, one each, every lead is compared by itself
+    mixed = first[np.bincount(interval[first], minlength=int(interval.max(initial=0)) + 1)[interval[first]] > 1]
+    if len(mixed):
+        counts = (high - low + 1)[mixed]
+        row = np.repeat(mixed, counts)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + low[row]
+        columns = [interval[row], k]
+        if rim:
+            where = np.where(edge < k[:, None], core[row][:, None] - k[:, None] + edge, core[row][:, None] + depth * cell + edge - k[:, None])
+            columns.append(np.ascontiguousarray(flat[where]).view(np.uint64).T)
+        _, group = _groups(np.vstack([np.asarray(c).view(np.uint64) for c in columns]))
+        twice = (np.bincount(group) > 1)[group]
+        flags[(at[row] - k)[twice]] = True
+    return np.split(flags, firsts[1:-1])
+
+
+def _groups(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first member of each group of equal columns, and the group of each column."""
     order = np.lexsort(columns)
-    new = np.ones(len(order), bool)
-    for column in columns:
-        c = column[order]
-        new[1:] &= c[1:] == c[:-1]
-    new[1:] = ~new[1:]
-    group = np.cumsum(new) - 1
-    twice = np.empty(len(order), bool)
-    twice[order] = np.bincount(group)[group] >= 2
-    for i, s in zip(owner[row[twice]].tolist(), start[row[twice], k[twice]].tolist()):
-        out[i][s] = True
-    return out
+    line = columns[:, order]
+    new = np.concatenate([[True], (line[:, 1:] != line[:, :-1]).any(0)]) if len(order) else np.zeros(0, bool)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -297,7 +332,7 @@ def _part(contexts: DataFrame, rule: Rule, step: int) -> DataFrame:
                         a, b = max(0, off - (k + 1) * step + 1), min(n, off - k * step + 1)
                         h = xxhash.xxh3_64_intdigest(cut(off - k * step, off - (k + 1) * step + 1 + rule.length), step << 20 | k)
                         data = cut(a, b + rule.length - 1)
-                        c1, c2 = _signed(xxhash.xxh3_128_intdigest(data))
+                        c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(data), np.int64).tolist()
                         for col, v in zip(cols, (r["h"], r["c1"], r["c2"], r["copy"], a, h - (1 << 63), c1, c2, b - a, off - a, bytes(data))):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _PART)], names=[n for n, _ in _PART])
@@ -333,8 +368,8 @@ def _ranges(contexts: DataFrame, scratch: Scratch, rule: Rule, step: int, level:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, its null-safe key dk, text (null: empty) and the text's hash th."""
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("dk"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    """doc_id, its hash dk (one to one on whole numbers; null has one too), text (null: empty) and the text's hash th."""
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("dk"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def repeat_places(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
@@ -395,11 +430,11 @@ def _passages(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
             rows = [[{"start": a, "end": b} for a, b in spans_of(f, rule.length)] for f in batch["found"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["dk"], batch["th"], pa.array(rows, _SPANS_PA)], names=["dk", "th", "passages"])
 
-    return repeat_places(base, scratch, rule).mapInArrow(run, T.StructType([T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), T.StructField("passages", _SPANS)]))
+    return repeat_places(base, scratch, rule).mapInArrow(run, T.StructType([T.StructField("dk", T.LongType()), T.StructField("th", T.LongType()), T.StructField("passages", _SPANS)]))
 
 
 def remove_repeats(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
-    """doc_id, dk, th (see ``_keyed``), n_bytes, spans (start and end of removed bytes, maximal and in order) and kept (the bytes that stay) for every row.
+    """doc_id, n_bytes, spans (start and end of removed bytes, maximal and in order) and kept (the bytes that stay) for every row.
 
     A byte goes if a ``rule.length``-byte string that covers it also starts at another place, in the same text or in any
     other; places are judged on the input. Texts are their UTF-8 bytes; null is empty; matches stay within a text; repeated
@@ -407,9 +442,14 @@ def remove_repeats(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
     overlapping segments; an empty table gives an empty one; other columns, whatever their names, are dropped.
     """
     base = _keyed(docs)
-    places = repeat_places(base, Scratch(docs.sparkSession, "repeats"), rule)
-    joined = base.join(places, ["dk", "th"], "left").select("doc_id", "dk", "th", "text", "found")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("dk", T.StringType()), T.StructField("th", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("kept", T.BinaryType())])
+    return _removed(base, repeat_places(base, Scratch(docs.sparkSession, "repeats"), rule), rule)
+
+
+def _removed(base: DataFrame, places: DataFrame, rule: Rule) -> DataFrame:
+    """The result of ``remove_repeats`` with the columns of ``places`` (dk, th, found, ...) behind found."""
+    more = [f for f in places.schema if f.name not in ("dk", "th", "found")]
+    joined = base.join(places, ["dk", "th"], "left").select("doc_id", "text", "found", *(f.name for f in more))
+    schema = T.StructType([base.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("spans", _SPANS), T.StructField("kept", T.BinaryType()), *more])
 
     def run(batches):
         for batch in batches:
@@ -421,15 +461,16 @@ def remove_repeats(docs: DataFrame, rule: Rule = BYTES) -> DataFrame:
                     edges = [0, *(e for s in own for e in s), len(data)]
                     kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes = pc.cast(pc.binary_length(part["text"]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["dk"], part["th"], sizes, pa.array(spans, _SPANS_PA), pa.array(kept, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, pa.array(spans, _SPANS_PA), pa.array(kept, pa.binary()), *(part[f.name] for f in more)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
 def repeats_digest(docs: DataFrame, rule: Rule = BYTES, words: Rule = WORDS) -> DataFrame:
     """The contract's columns from the spans and kept bytes, then n_passages and n_passage_words of ``repeated_passages``."""
+    base = _keyed(docs)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    passages = repeated_passages(docs, words).select("dk", "th", F.size("passages").cast("long").alias("n_passages"), total("passages").alias("n_passage_words"))
-    removed = remove_repeats(docs, rule).select("doc_id", "dk", "th", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = _passages(base, Scratch(docs.sparkSession, "passages"), words).select("dk", "th", F.size("passages").cast("long").alias("n_passages"), total("passages").alias("n_passage_words"))
+    places = repeat_places(base, Scratch(docs.sparkSession, "repeats"), rule).join(passages, ["dk", "th"], "full")
     none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return removed.join(passages, ["dk", "th"], "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", none("n_passages"), none("n_passage_words"))
+    return _removed(base, places, rule).select("doc_id", "n_bytes", total("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), none("n_passages"), none("n_passage_words"))

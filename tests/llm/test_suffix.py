@@ -69,9 +69,8 @@ def test_digest(spark, many, segment, block):
     rule, words = (dataclasses.replace(r, many=many, segment=segment, block=block) for r in (sd.BYTES, sd.WORDS))
     texts = corpus(random.Random(many))
     long = np.frombuffer(max(texts, key=lambda t: len(t or "")).encode(), np.uint8)
-    runs = list(sd.anchors(long, rule))
-    assert [r[1] for r in runs] == [0, *np.cumsum([r[2] for r in runs])[:-1]] and sum(r[2] for r in runs) == len(long) - rule.length + 1
-    assert max(r[2] for r in runs) <= rule.width
+    _, first, starts, _ = sd.anchors(long, rule)
+    assert first.tolist() == [0, *np.cumsum(starts)[:-1].tolist()] and starts.sum() == len(long) - rule.length + 1 and starts.max() <= rule.width
     rows = [(i if t != "short" else None, t, "a", "b", "c") for i, t in enumerate(texts)]
     got = sd.repeats_digest(spark.createDataFrame(rows, "doc_id long, text string, th string, h string, spans string"), rule, words).collect()
     want = dict(zip((r[0] for r in rows), brute(texts)))
