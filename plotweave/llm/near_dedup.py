@@ -18,12 +18,12 @@ SHINGLE, LEAST = 5, 0.8
 #: Bands x rows samples a text: a pair at 0.8 shares a band with probability 1 - (1 - 0.8**4)**14 = 0.9994.
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
-#: Document frequencies are counted in so many buckets of shingle hashes, at every size of input.
-IDF_BITS = 16
+#: Document frequencies are counted in 2**IDF_BITS buckets of shingle hashes, at every size of input.
+IDF_BITS = 20
 #: A sample is searched among shingles whose least possible value is below this over the text's weight, then among all.
 ENOUGH = 5.0
-#: Groups of shingle hashes in which the weights of two texts bound what they share.
-GROUPS = 64
+#: Texts and words of a block that is compared with another as a whole, and texts that meet their pivot in one group.
+BLOCK_TEXTS, BLOCK_WORDS, STAR = 512, 1 << 18, 1024
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -75,28 +75,34 @@ def bucket_of(values: np.ndarray) -> np.ndarray:
 
 
 def idf_weights(docs: DataFrame) -> np.ndarray:
-    """The weight of each bucket of shingle hashes: 1 + ln((1 + N) / (1 + df)) / ln(1 + N), between 1 and 2.
+    """The weight of each bucket of shingle hashes: 1 + ln((1 + N) / (1 + df)) / ln(2 + N), between 1 and 2.
 
-    df counts, over all documents, the distinct shingles that fall into a bucket (N at most). Dividing by ln(1 + N) keeps
-    a shingle that a third of the corpus holds within a factor of two of a rare one, so that the parts which near copies
-    share don't vanish beside those in which they differ. Tasks send sums by bucket; 2**IDF_BITS rows reach the driver.
+    A bucket counts, over all documents, the distinct shingles that fall into it. What the mean of all buckets would
+    bring there by chance is subtracted, so that a rare shingle isn't taken for as common as its bucket's others; df is 1
+    at least, and off by about the root of the mean load. Dividing by ln(2 + N) keeps a shingle that a third of the
+    corpus holds within a factor of two of a rare one, so that the parts which near copies share don't vanish beside
+    those in which they differ. Tasks send sums by bucket; 2**IDF_BITS rows at most reach the driver.
     """
 
     def count(batches):
-        seen, n = np.zeros(1 << IDF_BITS, np.int64), 0
+        seen, n = np.zeros(1 << IDF_BITS, np.int32), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 values, _, _ = shingles(part["text"])
-                seen += np.bincount(bucket_of(values), minlength=len(seen))
+                np.add.at(seen, bucket_of(values), 1)
                 n += part.num_rows
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["bucket", "n"])
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some].astype(np.int64))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], names=["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = sums["bucket"].to_numpy(), sums["n"].to_numpy()
     total = int(n[at < 0].sum())
     df = np.zeros(1 << IDF_BITS)
-    df[at[at >= 0]] = np.minimum(n[at >= 0], total)
+    df[at[at >= 0]] = n[at >= 0]
+    df = np.clip(df - df.sum() / len(df), min(1, total), total)
     return (1 + np.log((1 + total) / (1 + df)) / np.log(2 + total)).astype(np.float32)
 
 
@@ -188,8 +194,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, h1, h2 (hashes of the text) and bands, null for a text without words."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2")), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """doc_id, h1, h2 (hashes of the text), size (its shingles, repeated ones included) and bands, null for a text without words."""
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("h1", "h2", "size")), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -202,7 +208,8 @@ def _sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 keys = _mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 none = np.diff(bounds) == 0
                 lists = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], mask=np.append(none, False)), pa.array(m.ravel(), t))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h1"], part["h2"], lists(keys, pa.int64())], names=["doc_id", "h1", "h2", "bands"])
+                size = np.diff(np.append(0, np.cumsum(counts))[bounds])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["h1"], part["h2"], pa.array(size), lists(keys, pa.int64())], names=schema.names)
 
     return _hashed(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
@@ -211,76 +218,159 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text", F.octet_length("text"))})
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b, s: the pairs (a, b) of nodes with their similarity, computed from whole texts (node, text)."""
+def _own(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shingle hashes, in order, and weights of each text."""
+    values, counts, bounds = shingles(texts)
+    weights = counts * idf[bucket_of(values)]
+    return [(values[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _verify_stars(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a, b, s: the pairs of a pivot a and a node b with their similarity, computed from whole texts (node, text).
+
+    A pivot's text leads the group of its nodes' texts, so each text travels once for each pivot; a pivot with more than
+    STAR nodes leads several groups.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("groups"))
+    leads = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("node"))
+    rows = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("node")).union(leads)
 
     def run(batches):
-        last: tuple = (None, None)
+        pivot = own = None
         for batch in batches:
-            for part in slices(batch, "text_b", 1 << 20):
-                own = {}
-                for side in ("b", "a"):  # in runs, as the texts of a pivot come one after another
-                    nodes = part[side].to_pylist()
-                    new = [i for i, n in enumerate(nodes) if n not in own and n != last[0]]
-                    new = list({nodes[i]: i for i in new}.values())
-                    for lo in range(0, len(new), 256):
-                        some = new[lo : lo + 256]
-                        values, counts, bounds = shingles(part["text_" + side].take(pa.array(some)))
-                        weights = counts * idf[bucket_of(values)]
-                        for i, x, y in zip(some, bounds[:-1], bounds[1:]):
-                            own[nodes[i]] = (values[x:y], weights[x:y])
-                own.setdefault(*last) if last[0] is not None else None
-                a, b = part["a"].to_pylist(), part["b"].to_pylist()
-                yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array([similarity(own[x], own[y]) for x, y in zip(a, b)], pa.float64())], names=["a", "b", "s"])
-                last = (a[-1], own[a[-1]])
-
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias("text_" + c))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, s double")
-
-
-def _unshared(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, w, g, u: the weight of each text (node, text), also by GROUPS of shingle hashes, and of its shingles that no other of these texts holds. Shingles are counted with partial sums; one that is counted once still knows its text."""
+            for part in slices(batch, "text", 1 << 20):
+                out = []
+                for a, g, node, text in zip(part["a"].to_pylist(), part["g"].to_pylist(), part["node"].to_pylist(), _own(part["text"], idf)):
+                    if a == node:
+                        pivot, own = (a, g), text
+                    else:
+                        if pivot != (a, g):
+                            raise RuntimeError("a group without its pivot")
+                        out.append((a, node, similarity(own, text)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "s"])
+
+    whole = rows.join(texts, "node").select("a", "g", "node", "text").repartition("a", "g").sortWithinPartitions("a", "g", F.col("node") != F.col("a"))
+    return whole.mapInArrow(run, "a long, b long, s double")
+
+
+def _vectors(texts: DataFrame) -> DataFrame:
+    """node, v, c: shingle hashes in order and their counts, of texts (node, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 values, counts, bounds = shingles(part["text"])
-                weights = (counts * idf[bucket_of(values)]).astype(np.float64)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                by_group = np.bincount(owner * GROUPS + (values % np.uint64(GROUPS)).astype(np.int64), weights, part.num_rows * GROUPS)
-                lists = lambda v, b: pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v))
-                yield pa.RecordBatch.from_arrays([part["node"], lists(values.view(np.int64), bounds), lists(weights, bounds), lists(by_group, np.arange(part.num_rows + 1) * GROUPS)], names=["node", "h", "w", "g"])
+                spans = list(zip(bounds[:-1], bounds[1:]))
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array([values[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary())], names=["node", "v", "c"])
+
+    return texts.mapInArrow(run, "node long, v binary, c binary")
+
+
+def block_links(left: list[tuple], right: list[tuple] | None, idf: np.ndarray) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) that join the parts of the texts (node, part, hashes, counts) of two blocks, or of one.
+
+    All pairs of texts in different parts count. What a pair shares is a product of matrices: a shingle that a text holds
+    c times is c columns of weight idf, as the lesser of two counts is the number of columns that both have. Columns that
+    one text alone has are left out, the others come in bounded slabs. Pairs near the threshold and above are computed
+    again in full precision. Of links between two parts that links have joined already one is enough.
+    """
+    both = left + (right or [])
+    if not both:
+        return []
+    sizes = np.array([len(t[2]) for t in both])
+    values, counts = np.concatenate([t[2] for t in both]), np.concatenate([t[3] for t in both]).astype(np.int64)
+    weight = idf[bucket_of(values)].astype(np.float32)
+    total = np.bincount(np.repeat(np.arange(len(both)), sizes), weight.astype(np.float64) * counts, len(both))
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys = _mix(np.repeat(values, counts) + level.astype(np.uint64) * _P)
+    owner, weight = np.repeat(np.repeat(np.arange(len(both)), sizes), counts), np.repeat(weight, counts)
+    _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    held = times[column] > 1
+    column, owner, weight = number[column[held]], owner[held], weight[held]
+    order = np.argsort(column, kind="stable")
+    column, owner, weight = column[order], owner[order], weight[order]
+    first, n = (0, len(left)) if right else (0, len(both))
+    shared = np.zeros((n, len(both) - n if right else n), np.float32)
+    slab = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, slab):
+        a, b = np.searchsorted(column, (lo, lo + slab))
+        has = np.zeros((len(both), slab), np.float32)
+        has[owner[a:b], column[a:b] - lo] = 1
+        weights = np.zeros(slab, np.float32)
+        weights[column[a:b] - lo] = weight[a:b]
+        shared += (has[:n] * weights) @ (has[n:] if right else has).T
+    offset = n if right else 0
+    part = np.array([t[1] for t in both])
+    ok = shared >= (LEAST - 1e-3) * (total[:n, None] + total[None, offset:] - shared)
+    ok &= part[:n, None] != part[None, offset:]
+    if not right:
+        ok = np.triu(ok, 1)
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.get(i, i) != i:
+            root[i] = root.get(root[i], root[i])
+            i = root[i]
+        return i
+
+    out = []
+    own = lambda t: (t[2], t[3] * idf[bucket_of(t[2])])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+        x, y = both[i], both[offset + j]
+        p, q = find(x[1]), find(y[1])
+        if p != q and (s := similarity(own(x), own(y))) >= LEAST:
+            root[p] = q
+            out.append((x[0], y[0], s))
+    return out
 
-    full = texts.mapInArrow(run, "node long, h array<long>, w array<double>, g array<double>")
-    each = full.select("node", F.explode(F.arrays_zip("h", "w")).alias("s")).select("node", "s.h", "s.w")
-    once = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1").groupBy("node").agg(F.sum("w").alias("u"))
-    whole = full.select("node", F.expr("aggregate(g, 0D, (v, w) -> v + w)").alias("w"), "g")
-    return whole.join(once, "node", "left").select("node", "w", "g", F.coalesce("u", F.lit(0.0)).alias("u"))
 
+def _open_links(component: DataFrame, vectors: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a, b, s: links of texts that share a bucket and are in different parts, as many as join the parts; component: bucket, node, size, part.
 
-def _open_pairs(rest: DataFrame) -> DataFrame:
-    """a, b: the pairs of texts of one bucket in different parts that no exact bound rules out, each once."""
-    x, y = (rest.select(*(F.col(c).alias(f"{p}_{c}") for c in ("bucket", "node", "part", "d", "w", "u", "g", "bands"))) for p in "ab")
-    most = "least(a_w - a_u, b_w - b_u)"
-    first = f"a_bucket = a_bands[element_at(filter(sequence(0, {BANDS - 1}), i -> a_bands[i] = b_bands[i]), 1)]"  # each pair once
-    groups = "aggregate(zip_with(a_g, b_g, (v, w) -> least(v, w)), 0D, (v, w) -> v + w)"
-    met = F.expr(f"a_bucket = b_bucket AND a_part < b_part AND abs(a_d - b_d) <= {1 - LEAST + 1e-9} AND {most} >= {LEAST - 1e-6} * (a_w + b_w - {most}) AND {first} AND {groups} >= {LEAST - 1e-6} * (a_w + b_w - {groups})")
-    return x.join(y, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    A bucket's texts are dealt to blocks of bounded size, those of its largest part apart, as these need not meet each
+    other. Every two blocks that hold different parts are one group; no pair of texts is ever a row.
+    """
+    by_part = component.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    most = F.max(F.struct("n", "part", "words"))
+    buckets = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("words").alias("words"), most.alias("m")).where("parts > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(w / BLOCK_WORDS), F.lit(1)).cast("int")
+    buckets = buckets.select("bucket", F.col("m.part").alias("major"), blocks(F.col("m.n"), F.col("m.words")).alias("large"), blocks(F.col("n") - F.col("m.n"), F.col("words") - F.col("m.words")).alias("small"))
+    dealt = component.join(buckets, "bucket").withColumn("own", F.expr("IF(part = major, small + pmod(xxhash64(node), large), pmod(xxhash64(node), small))").cast("int"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, IF(part = major, small, small + large) - 1)")))
+    rows = met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part").join(vectors, "node")
+
+    def run(batches):
+        key, left, right = None, [], []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "s"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = (r["bucket"], r["lo"], r["hi"])
+                if now != key:
+                    if left and (right or key[1] == key[2]):
+                        found = block_links(left, right or None, idf)
+                        yield out()
+                    key, left, right = now, [], []
+                (left if r["own"] == r["lo"] else right).append((r["node"], r["part"], np.frombuffer(r["v"], np.uint64), np.frombuffer(r["c"], np.int32)))
+        if left and (right or key[1] == key[2]):
+            found = block_links(left, right or None, idf)
+            yield out()
+
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long, s double")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, class_id, lead1, lead2 for every row; class_id is the least doc_id of the row's class.
+    """doc_id, h1, h2, class_id, lead1, lead2, link_id and link_similarity for every row; class_id is the least doc_id of the row's class.
 
     Equal texts are one node. Texts that share a band meet in its bucket, and each is tested against the bucket's pivot,
     the text with most bucket mates; so a bucket of n texts gives n - 1 pairs. What such stars leave open are texts of one
-    bucket in different components: these pairs are taken too, unless an exact bound rules them out. One bound is
-    the triangle inequality (1 - similarity is a metric, and both distances to the pivot are known), another that two
-    texts share at most what either doesn't hold alone among the texts in question; the last that in each group of shingle
-    hashes they share at most the lesser of their weights there. Links are verified by weighted Jaccard
-    similarity over whole texts; classes are the components of the links.
+    bucket in different components: all these pairs are compared, block against block. Links are verified by weighted
+    Jaccard similarity over whole texts; classes are the components of the links. link_id is the least doc_id of the most
+    similar text that was found linked, null where there is none.
 
     Null and empty texts, and texts without words, are near duplicates of equal texts only. Repeated rows share a class.
-    (lead1, lead2) are the hashes of the class's least doc_id's text. A null doc_id comes before all others.
+    (lead1, lead2) are the hashes of the class's least doc_id's text. A null doc_id comes before all others. Very long
+    texts are whole nodes; an empty table gives an empty one; other columns are dropped.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -288,45 +378,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     idf = idf_weights(base)
     signed = scratch.cut(_sign(base, idf), "signed")
     lead = F.min(F.struct("doc_id", "h1", "h2")).alias("lead")
-    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.first("bands").alias("bands"))
-    nodes = scratch.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("doc_id"), "bands"), "nodes")
+    nodes = signed.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = scratch.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("first.doc_id").alias("doc_id"), "size", "bands"), "nodes")
 
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    sizes = scratch.cut(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = scratch.cut(entries.join(sizes, "bucket"), "shared")
     mates = shared.groupBy("node").agg(F.sum("n").alias("mates"))
     ranked = shared.join(mates, "node")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("mates", "node"))["node"].alias("pivot"))
-    members = scratch.cut(shared.join(pivots, "bucket").select("bucket", "node", "pivot"), "members")
+    pivots = scratch.cut(ranked.groupBy("bucket").agg(F.max(F.struct("mates", "node"))["node"].alias("pivot")), "pivots")
+    members = scratch.cut(shared.join(pivots, "bucket").select("bucket", "node", "size", "pivot"), "members")
     pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = members.select("node").distinct().join(nodes.select("node", "h1", "h2", "doc_id"), "node")
     texts = _hashed(base).join(wanted.select("node", F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.col("doc_id").alias("_id")), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    texts = scratch.cut(texts, "texts")
-    tested = scratch.cut(_verify(pairs, texts, idf).groupBy("a", "b").agg(F.max("s").alias("s")), "tested")
-    links = tested.where(f"s >= {LEAST}").select("a", "b")
-    stars = connected(links, scratch, "stars")
-
-    component = members.join(stars, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("part"))
-    open_buckets = component.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("bucket")
-    far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("s")).alias("d"))
-    rest = component.where("node != pivot").join(open_buckets, "bucket").join(far, ["pivot", "node"])
-    rest = scratch.cut(rest, "rest")
-    own = scratch.cut(_unshared(texts.join(rest.select("node").distinct(), "node").dropDuplicates(["node"]).select("node", "text"), idf), "own")
-    rest = scratch.cut(rest.join(own, "node").join(nodes.select("node", "bands"), "node"), "placed")
-    more = _open_pairs(rest)
-    found = scratch.cut(_verify(more, texts, idf).where(f"s >= {LEAST}").select("a", "b"), "found")
-    roots = connected(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found), scratch, "all") if found.take(1) else stars
-
+    texts = scratch.cut(_one_each(texts), "texts")
+    tested = scratch.cut(_verify_stars(pairs, texts, idf).where(f"s >= {LEAST}"), "tested")
+    stars = scratch.cut(connected(tested.select("a", "b"), scratch, "stars"), "roots")
+
+    component = scratch.cut(members.join(stars, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("part")), "component")
+    several = scratch.cut(component.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("bucket"), "several")
+    rest = scratch.cut(component.join(several, "bucket"), "rest")
+    vectors = scratch.cut(_vectors(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "vectors")
+    found = scratch.cut(_open_links(rest, vectors, idf), "found")
+    roots = connected(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found.select("a", "b")), scratch, "all") if found.take(1) else stars
+
+    ends = tested.union(found)
+    best = ends.union(ends.select("b", "a", "s")).groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("s", "b")).alias("link"), F.max("s").alias("link_similarity"))
+    links = best.join(nodes.select(F.col("node").alias("link"), F.col("doc_id").alias("link_id")), "link").select("node", "link_id", "link_similarity")
     placed = nodes.select("node", "h1", "h2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    leads = placed.groupBy("root").agg(lead)
-    classes = scratch.cut(placed.join(leads, "root").select("h1", "h2", F.col("lead.doc_id").alias("class_id"), F.col("lead.h1").alias("lead1"), F.col("lead.h2").alias("lead2")), "classes")
-    scratch.drop("nodes", "shared", "members", "texts", "tested", "rest", "own", "placed", "found")
+    leads = scratch.cut(placed.groupBy("root").agg(lead), "leads")
+    classes = placed.join(leads, "root").join(links, "node", "left").select("h1", "h2", F.col("lead.doc_id").alias("class_id"), F.col("lead.h1").alias("lead1"), F.col("lead.h2").alias("lead2"), "link_id", "link_similarity")
+    classes = scratch.cut(classes, "classes")
+    scratch.keep("signed", "classes")
     return signed.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"])
 
 
+def _one_each(texts: DataFrame) -> DataFrame:
+    """The rows of a task with each node once: the join on a text's hashes brings its repeated rows together. A node that several tasks still hand out is compared anew, no more."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            yield batch.filter(pa.array([n not in seen and not seen.add(n) for n in batch["node"].to_pylist()], pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def near_digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", "class_id", F.expr("doc_id <=> class_id AND h1 = lead1 AND h2 = lead2").alias("stays"))
+    return near_duplicates(docs).select("doc_id", "class_id", F.expr("doc_id <=> class_id AND h1 = lead1 AND h2 = lead2").alias("stays"), "link_id", "link_similarity")
 
 
 def near_stage(docs: DataFrame) -> DataFrame:

@@ -395,7 +395,7 @@ def repeat_places(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     ranges = scratch.cut(_ranges(contexts, scratch, rule, rule.width), "ranges")
     found = seen.select("dk", "th", "at", *_KEY).join(ranges, _KEY).groupBy("dk", "th").agg(F.collect_list(F.struct("at", "runs")).alias("found"))
     out = scratch.cut(found, "found")
-    scratch.drop("again", "seen", "distinct", "kinds", "wanted", "contexts", "hot", "ranges", *(f"{t}{k}" for k in range(8) for t in ("parts", "distinct", "kinds", "inner")))
+    scratch.keep("found")
     return out
 
 

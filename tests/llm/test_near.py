@@ -1,6 +1,7 @@
 """Near-duplicate classes against all pairs."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -121,12 +122,75 @@ def test_samples_do_not_depend_on_the_bound(monkeypatch):
     assert (sig == nd.signatures(values, weights, bounds)).all()
 
 
-def test_open_pairs_need_one_band_alone(spark):
-    """Of three texts in one bucket two differ in all other bands, so that as few as 4 of 56 samples may agree; only exact bounds may drop a pair."""
-    group = lambda *w: [float(x) for x in w] + [0.0] * (nd.GROUPS - len(w))
-    rows = [(7, n, n, 0.25, 100.0, 10.0, group(*g), [7, *range(100 * n, 100 * n + nd.BANDS - 1)]) for n, g in ((1, (90, 10)), (2, (90, 0, 10)), (3, (50, 0, 0, 50)))]
-    rest = spark.createDataFrame(rows, "bucket long, node long, part long, d double, w double, u double, g array<double>, bands array<long>")
-    assert [tuple(r) for r in nd._open_pairs(rest).collect()] == [(1, 2)]
+def vector(words, part, node):
+    values, counts, _ = nd.shingles(pa.array([" ".join(words)]))
+    return (node, part, values, counts.astype(np.int32))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_against_all_pairs(seed):
+    rng = random.Random(seed)
+    base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(300)]
+    idf = (1 + np.random.default_rng(seed).random(1 << nd.IDF_BITS)).astype(np.float32)
+    texts = []
+    for n in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 30)):
+            w[rng.randrange(300)] = "z" + str(rng.randint(0, 40))
+        if n % 9 == 0:
+            w += w[:50] * 3
+        texts.append(vector(w, rng.randrange(40), n))
+    texts.append(vector(["one"], 99, 99))
+    own = {t[0]: (t[2], t[3] * idf[nd.bucket_of(t[2])]) for t in texts}
+
+    def parts(links):
+        root = {t[1]: t[1] for t in texts}
+        find = lambda i: i if root[i] == i else find(root[i])
+        part = {t[0]: t[1] for t in texts}
+        for a, b in links:
+            root[find(part[a])] = find(part[b])
+        return sorted(sorted(n for n in part if find(part[n]) == r) for r in {find(p) for p in part.values()})
+
+    for left, right in ((texts, None), (texts[:30], texts[30:])):
+        pairs = itertools.combinations(left, 2) if right is None else itertools.product(left, right)
+        want = [(x[0], y[0]) for x, y in pairs if x[1] != y[1] and nd.similarity(own[x[0]], own[y[0]]) >= nd.LEAST]
+        got = nd.block_links(left, right, idf)
+        assert {(a, b) for a, b, _ in got} <= set(want) and all(abs(s - nd.similarity(own[a], own[b])) < 1e-12 for a, b, s in got)
+        assert parts((a, b) for a, b, _ in got) == parts(want) and len(got) < 71
+
+
+def test_a_bucket_of_unlinked_texts_is_blocks_not_pairs(spark):
+    """2,000 texts of one bucket, each a part of its own: rows grow by the number of blocks, and the one link between parts is found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(40)]
+    texts = [base[:30] + [word() for _ in range(30)] for _ in range(2_000)]
+    texts[1_700] = texts[3][:-1] + ["x"]
+    idf = np.ones(1 << nd.IDF_BITS, np.float32)
+    component = spark.createDataFrame([(7, n, 56, n) for n in range(2_000)], "bucket long, node long, size long, part long")
+    vectors = nd._vectors(spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "node long, text string"))
+    assert [(sorted((a, b)), round(s, 2)) for a, b, s in nd._open_links(component, vectors, idf).collect()] == [([3, 1_700], 0.96)]
+
+
+def test_links_name_a_similar_text(spark):
+    texts = corpus(random.Random(2))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = nd.idf_weights(df)
+    own = nd._own(pa.array(texts), idf)
+    for r in nd.near_digest(df).collect():
+        if r.link_id is not None:
+            assert abs(nd.similarity(own[r.doc_id], own[r.link_id]) - r.link_similarity) < 1e-9 and r.link_similarity >= nd.LEAST
+        assert r.link_id is not None or r.class_id == r.doc_id or texts[r.class_id] == texts[r.doc_id]
+
+
+def test_weights_follow_document_frequencies(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["the very same opening words"] * (i % 3 == 0) + [str(rng.random()) for _ in range(100)]) for i in range(800)]
+    idf = nd.idf_weights(spark.createDataFrame([(t,) for t in texts], "text string"))
+    common, rare = nd.shingles(pa.array(["the very same opening words"])), nd.shingles(pa.array(texts[1:2]))
+    exact = lambda df: 1 + math.log(801 / (1 + df)) / math.log(802)
+    assert abs(idf[nd.bucket_of(common[0])][0] - exact(267)) < 0.01
+    assert abs(np.median(idf[nd.bucket_of(rare[0])]) - exact(1)) < 0.03
 
 
 def test_components(spark):
