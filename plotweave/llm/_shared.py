@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +61,26 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield batch.slice(start)
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and row, the other columns of ``docs`` as a struct: whatever their names, none is in the way of an operator's own."""
+    others = [F.col(quoted(c)).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(0)).alias("row"))
+
+
+def restored(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns ``names`` of what was ``carried``, those in ``new`` replaced."""
+    return df.select(*(column_of(c, **new).alias(c) for c in names))
+
+
+def column_of(name: str, **new: Column) -> Column:
+    return new[name] if name in new else F.col(name) if name in ("doc_id", "text") else F.col("row")[name]
+
+
 def keys_only(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Keys and text alone, so that other columns, whatever their names, are neither read nor in the way."""
     return df.select(*keys, *([] if text in keys else [text]))

@@ -27,10 +27,14 @@ CLASSES = (
     ("entropy_alnum", re.compile(r"[A-Za-z0-9]{20,}"), 20, 3.75, (r"[0-9].*[0-9]", r"[A-Z]", r"[a-z]")),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.75, (r"[0-9].*[0-9]", r"[A-Z]", r"[a-z]", r"[+/_=-]")),
 )
-#: A run of letters and digits in a candidate is not scanned when one of these matches in it; a candidate isn't when the text just before it matches.
+#: A run of letters and digits in a candidate is not scanned when one of these matches in it; a candidate isn't when one
+#: of these labels stands before it (quotes, white space of any length and a separator may lie between), or when a scheme's
+#: end lies anywhere before it in the same run of characters without white space.
 ALLOW_INSIDE = tuple(re.compile(p, re.I) for p in (r"example|sample|placeholder|dummy|changeme|your[_-]?(key|token)", r"^(.)\1*$", r"0123456789|abcdefghij"))
-ALLOW_BEFORE = re.compile(r"(sha(1|224|256|384|512)|md5|integrity|checksum|commit|uuid)[\"']?\s*[:=-]?\s*[\"']?$|://\S*$", re.I)
-BEFORE = 80
+ALLOW_LABELS = ("sha1", "sha224", "sha256", "sha384", "sha512", "md5", "integrity", "checksum", "commit", "uuid")
+SCHEME = "://"
+#: What lies between white space and may hold a candidate.
+TOKEN = re.compile(r"\S{20,}")
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), True)
 _SPAN_PA = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -88,9 +92,26 @@ def _without_allowed(word: str) -> str:
 
 def entropy_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Every class scans each candidate; spans that spans of narrower classes cover are left out."""
-    for found in CANDIDATE.finditer(text):
+    for token in TOKEN.finditer(text):
+        scheme = text.find(SCHEME, token.start(), token.end())
+        yield from _candidate_spans(text, token.start(), token.end() if scheme < 0 else scheme)
+
+
+def _labelled(text: str, at: int) -> bool:
+    """Whether a label of the allow-list, maybe with a separator, ends before ``at``."""
+    for between in ("\"'", None, ":=-", None, "\"'"):
+        if between is None:
+            while at and text[at - 1].isspace():
+                at -= 1
+        elif at and text[at - 1] in between:
+            at -= 1
+    return text[max(0, at - 9) : at].lower().endswith(ALLOW_LABELS)
+
+
+def _candidate_spans(text: str, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+    for found in CANDIDATE.finditer(text, start, end):
         at = found.start()
-        if ALLOW_BEFORE.search(text[max(0, at - BEFORE) : at]):
+        if _labelled(text, at):
             continue
         word = _without_allowed(found[0])
         narrower: list[tuple[int, int]] = []
@@ -132,8 +153,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
 def scan_secrets(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Keys and ``spans``, an array of (kind, start, end), for every row.
 
-    Null texts count as empty; repeated rows stay; other columns are dropped; an empty table gives an empty one. One
-    pass without a shuffle: a row needs nothing of any other, and a text is held once at a time.
+    Null texts count as empty; repeated rows stay; spans that start together keep the order of KINDS, and of one kind the
+    shorter comes first; other columns are dropped; an empty table gives an empty one. One pass without a shuffle: a row
+    needs nothing of any other, and a text, however long, is held once at a time.
     """
     keys = list(keys)
     df = keys_only(docs, keys, text)
