@@ -6,7 +6,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, types as T
 
-from ._shared import keys_only, slices
+from ._shared import carried, keys_only, restored, slices
 
 WHITE = b" \t\n\x0b\x0c\r"
 # The symbols that the base rules count.
@@ -16,7 +16,9 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: From so many bytes on: the least and the largest ratio of compressed to raw bytes of a whole document. Short texts
 #: hold little to repeat and pay for the frame, so their band is wider at the top.
 WHOLE_BANDS = ((0, 0.0, 9.0), (200, 0.22, 0.90), (500, 0.20, 0.80), (2_000, 0.18, 0.75), (8_000, 0.16, 0.72), (32_000, 0.12, 0.70))
-CHUNK, CHUNK_LEAST, CHUNK_BAND = 4096, 1024, (0.12, 0.75)
+#: Fixed chunks of texts of at least a chunk's length, and their band; the last chunk ends with the text, so that no byte
+#: is left out. A shorter text is judged as a whole.
+CHUNK, CHUNK_BAND = 4096, (0.12, 0.75)
 #: A document is also rejected when more than this share of its chunks leaves the band of chunks.
 CHUNK_SHARE = 0.5
 LEVEL = 3
@@ -52,17 +54,19 @@ def measure(text: bytes | None, squeeze: zstandard.ZstdCompressor) -> list[int]:
             dup += line in seen
             seen.add(line)
     plain = text.translate(None, WHITE)
-    chunks = bad = 0
-    for at in range(0, len(text), CHUNK):
-        part = text[at : at + CHUNK]
-        if len(part) >= CHUNK_LEAST:
-            chunks += 1
-            bad += not CHUNK_BAND[0] <= len(squeeze.compress(part)) / len(part) <= CHUNK_BAND[1]
+    starts = [*range(0, len(text) - CHUNK, CHUNK), len(text) - CHUNK] if len(text) >= CHUNK else []
+    chunks, bad = len(starts), 0
+    for at in starts:
+        bad += not CHUNK_BAND[0] <= len(squeeze.compress(text[at : at + CHUNK])) / CHUNK <= CHUNK_BAND[1]
     return [len(words), len(plain.decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words), len(text), len(squeeze.compress(text)) if text else 0, chunks, bad]
 
 
 def quality_measures(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Keys and MEASURES for every row, in one pass without a shuffle. Null texts count as empty; other columns are dropped."""
+    """Keys and MEASURES for every row, in one pass without a shuffle.
+
+    Null texts count as empty; repeated rows each get the same measures; an empty table gives an empty one; a very long
+    text is held by itself, one at a time; other columns, whatever their names, are dropped.
+    """
     keys = list(keys)
     df = keys_only(docs, keys, text)
 
@@ -93,13 +97,5 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their own columns."""
-    names = docs.columns
-    return judge(_with_measures(docs)).where("kept").select(*(f"row.{c}" for c in names))
-
-
-def _with_measures(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return quality_measures(whole, "text", ("row",))
+    """Rows of ``docs`` that are kept, with their own columns, whatever their names. Null and empty texts go, as they have no words; repeated rows stay or go together."""
+    return restored(judge(quality_measures(carried(docs), "text", ("row", "doc_id", "text"))).where("kept"), docs.columns)
