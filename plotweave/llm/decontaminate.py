@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._shared import carried, restored
+
 # The window that counts as an occurrence, and what lies between words.
 SPAN = 10
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,9 +108,11 @@ def decontamination_digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontamination_stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no window of the benchmark, with their own columns."""
+    """Rows of ``docs`` that hold no window of the benchmark, with their own columns, whatever their names. Null texts stay; repeated rows stay or go together."""
     hit = occurrences(docs, items)[0].select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left_anti")
+    rows = carried(docs)
+    clean = rows.join(hit, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"]) == F.col("_th")), "left_anti")
+    return restored(clean, docs.columns)
 
 
 DECONTAMINATION_SQL = r"""

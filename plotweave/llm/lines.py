@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ._shared import carried, column_of, restored
+
 WINDOW = 3
 #: A character that is not white space, escaped for a SQL literal.
 WORDY = r"[^ \\t-\\r]"
@@ -42,8 +44,8 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     null with no lines. A null doc_id comes before all others. Columns of ``docs`` with these names are replaced.
     """
     late = later_windows(docs, width).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("ranks").alias("_ranks"))
-    names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed", "_id", "_th", "_ranks")]
-    out = docs.select(*names).join(late, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    names = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_removed")]
+    out = carried(docs).join(late, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     out = out.withColumn("_lines", F.split("text", "\n", -1))
     # ranks of the lines with a word, then positions. Each array is used twice or more in the next step: the optimizer
     # doesn't inline such a column into a lambda, where it would be made anew for every element.
@@ -52,7 +54,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     out = out.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_ranks, r -> array({cover}))))"))
     left = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")
     return out.select(
-        *names,
+        *(column_of(c).alias(c) for c in names),
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.when(F.size("_gone") < F.size("_lines"), left).otherwise(F.lit(""))).alias("kept_text"),
         F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
@@ -65,10 +67,9 @@ def lines_digest(docs: DataFrame) -> DataFrame:
 
 
 def lines_stage(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with the text that is left; a document of which no line is left goes."""
-    out = dedup_lines(docs)
-    replaced = {"text": F.col("kept_text"), "n_chars": F.coalesce(F.length("kept_text"), F.lit(0)).cast("long")}
-    return out.where("n_removed = 0 OR n_removed < n_lines").select(*(replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns))
+    """Rows of ``docs`` with the text that is left, and n_chars after it; a document of which no line is left goes. Other columns keep their values, whatever their names."""
+    out = dedup_lines(carried(docs)).where("n_removed = 0 OR n_removed < n_lines")
+    return restored(out, docs.columns, text=F.col("kept_text"), n_chars=F.coalesce(F.length("kept_text"), F.lit(0)).cast("long"))
 
 
 #: For windows of three lines; lines are compared as they are.

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._shared import Scratch, slices
+from ._shared import Scratch, carried, restored, slices
 from .components import connected
 
 #: Words of a shingle and the least weighted Jaccard similarity of near duplicates.
@@ -432,6 +432,5 @@ def near_digest(docs: DataFrame) -> DataFrame:
 def near_stage(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, that of its least doc_id, with its own columns; of repeated rows one stays."""
     stay = near_duplicates(docs).where("doc_id <=> class_id AND h1 = lead1 AND h2 = lead2").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.col("h1").alias("_1"), F.col("h2").alias("_2")).distinct()
-    names = docs.columns
-    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.xxhash64("text").alias("_1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("_2"))
-    return keyed.join(stay, ["_k", "_1", "_2"]).dropDuplicates(["_k", "_1", "_2"]).select(*(F.col("row")[c].alias(c) for c in names))
+    keyed = carried(docs).select("doc_id", "text", "row", F.coalesce("doc_id", F.lit(-(2**63))).alias("_k"), F.xxhash64("text").alias("_1"), F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("_2"))
+    return restored(keyed.join(stay, ["_k", "_1", "_2"]).dropDuplicates(["_k", "_1", "_2"]), docs.columns)

@@ -132,7 +132,11 @@ def _counter(path: str) -> UnigramCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Keys and ``n_tokens`` for every row, in one pass without a shuffle. Null and empty texts have no tokens; other columns are dropped."""
+    """Keys and ``n_tokens`` for every row, in one pass without a shuffle.
+
+    Null and empty texts have no tokens; repeated rows each get the same count; an empty table gives an empty one; of a
+    very long text the scores and counts by place are held, no lattice; other columns, whatever their names, are dropped.
+    """
     keys = list(keys)
     df = keys_only(docs, keys, text)
     path = vocabulary or default_vocabulary()

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from plotweave.llm import decontaminate, lines, sharding, warc
+from plotweave.llm import decontaminate, lines, near_dedup, quality, sharding, warc
 
 SCHEMA = "doc_id long, text string, source string, start string, shard string, h1 string, n_lines string, w string"
 
@@ -143,3 +143,24 @@ def test_warc(spark, monkeypatch):
         assert r.digest_so_far == hashlib.sha1(big.encode()[: r.bytes_so_far]).hexdigest()
     monkeypatch.setattr(warc, "FILE_BYTES", 1)
     assert sorted(map(tuple, warc.warc_digest(df).collect()), key=key) == sorted(brute_pages(rows), key=key)
+
+
+CLASHING = ("n_lines", "n_removed", "kept_text", "_lines", "_at", "_gone", "_id", "_th", "_ranks", "row", "a.b", "fps", "w", "g", "h1", "h2", "node", "n_words", "kept", "_k", "_1")
+
+
+@pytest.mark.parametrize("stage", ["quality", "lines", "near", "decontamination"])
+def test_stages_carry_columns_of_any_name(spark, stage):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(700)]
+    rows = [(i, "\n".join(" ".join(rng.choices(words, k=14)) for _ in range(9))) for i in range(30)]
+    rows += [(40, rows[0][1]), (41, rows[1][1] + "\nmore"), (42, "\n".join(rows[2][1].split("\n")[:4]) + "\n" + rows[3][1]), (43, None), (44, "")]
+    names = ["doc_id", "n_chars", *CLASHING, "text"]
+    df = spark.createDataFrame([(d, -1, *(f"{d} {c}" for c in CLASHING), t) for d, t in rows], "doc_id long, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING) + ", text string")
+    items = spark.createDataFrame([(1, " ".join(rows[5][1].split()[:12]))], "item_id long, text string")
+    run = {"quality": quality.quality_stage, "lines": lines.lines_stage, "near": near_dedup.near_stage, "decontamination": lambda d: decontaminate.decontamination_stage(d, items)}[stage]
+    plain = {r.doc_id: r.text for r in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = run(df)
+    assert out.columns == names
+    got = [tuple(r) for r in out.collect()]
+    assert {r[0]: r[-1] for r in got} == plain and 0 < len(got) <= len(rows)
+    assert all(r[2:-1] == tuple(f"{r[0]} {c}" for c in CLASHING) for r in got)

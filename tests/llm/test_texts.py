@@ -74,6 +74,51 @@ def test_entropy_of_every_part_of_a_candidate():
     assert not secrets.find_spans(f"example{key}/sample")
 
 
+@pytest.mark.parametrize("between", [0, 70, 200, 2_000])
+def test_allow_list_sees_as_far_as_it_must(between):
+    key = "Ab3dE5gH7jK9mN1pQ3sT5vX7zB9d"
+    flagged = lambda t: [s for s in secrets.find_spans(t) if s[0].startswith("entropy")]
+    assert not flagged("see https://host.net/" + "ab.c/" * (between // 5) + key)
+    assert flagged("see https://host.net/" + "ab.c/" * (between // 5) + " " + key)
+    assert not flagged("SHA256" + " " * between + ":" + " " * between + "'" + key) and flagged("sha" + " " * between + key)
+
+
+def test_every_byte_of_a_long_text_lies_in_a_chunk():
+    import zstandard
+
+    squeeze, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(3)
+    prose = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "it"]) + str(rng.randint(0, 99)) for _ in range(4_000)).encode()
+    junk = bytes(rng.randrange(33, 127) for _ in range(4_000))
+    at = quality.MEASURES.index("n_bad_chunks")
+    for size in (4_096, 5_000, 8_192, 12_289):
+        assert quality.measure(prose[:size], squeeze)[at - 1 : at + 1] == [-(-size // 4_096), 0]
+        assert quality.measure(prose[: size - 3_500] + junk[:3_500], squeeze)[at] >= 1
+    assert quality.measure(prose[:4_095], squeeze)[at - 1 :] == [0, 0]
+
+
+def test_verdict_against_plain_compression(spark):
+    """The compression verdict from zstandard itself, document by document."""
+    import zstandard
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(900)]
+    texts = [" ".join(rng.choice(words[: rng.choice([3, 40, 900])]) for _ in range(rng.choice([60, 300, 3_000]))) for _ in range(60)]
+    texts += ["".join(rng.choices("".join(map(chr, range(33, 127))) + " ", k=rng.choice([400, 9_000]))) for _ in range(10)] + [t * 40 for t in texts[:5]]
+    ratio = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b)) / len(b)
+    bands = [(32_000, 0.12, 0.70), (8_000, 0.16, 0.72), (2_000, 0.18, 0.75), (500, 0.20, 0.80), (200, 0.22, 0.90), (0, 0.0, 9.0)]
+    got = {r.doc_id: r for r in quality.quality_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    verdicts = set()
+    for i, t in enumerate(texts):
+        b = t.encode()
+        low, high = next((x, y) for n, x, y in bands if len(b) >= n)
+        parts = [b[k : k + 4096] for k in range(0, len(b) - 4095, 4096)] + ([b[-4096:]] if len(b) > 4096 and len(b) % 4096 else [])
+        bad = sum(not 0.12 <= ratio(p) <= 0.75 for p in parts)
+        failed = not low <= ratio(b) <= high or bad > 0.5 * len(parts)
+        assert (got[i].band_failed, got[i].kept) == (failed, not failed and not got[i].base_failed), i
+        verdicts.add((got[i].base_failed, failed))
+    assert len(verdicts) >= 3
+
+
 def test_entropy_and_allow_list():
     key = "q7Zp2LxV9mK4tR8wYb3N"
     assert ("entropy_alnum", 4, 24) in secrets.find_spans("use " + key)
