@@ -325,18 +325,19 @@ def block_links(left: list[tuple], right: list[tuple] | None, idf: np.ndarray) -
     return out
 
 
-def _open_links(component: DataFrame, vectors: DataFrame, idf: np.ndarray) -> DataFrame:
+def _open_links(component: DataFrame, vectors: DataFrame, idf: np.ndarray, scratch: Scratch) -> DataFrame:
     """a, b, s: links of texts that share a bucket and are in different parts, as many as join the parts; component: bucket, node, size, part.
 
     A bucket's texts are dealt to blocks of bounded size, those of its largest part apart, as these need not meet each
-    other. Every two blocks that hold different parts are one group; no pair of texts is ever a row.
+    other. Every two blocks that hold different parts are one group; no pair of texts is ever a row. The table of buckets
+    is written, so that the join has two plain exchanges and the planner may split a hot bucket.
     """
     by_part = component.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     most = F.max(F.struct("n", "part", "words"))
     buckets = by_part.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("words").alias("words"), most.alias("m")).where("parts > 1")
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(w / BLOCK_WORDS), F.lit(1)).cast("int")
     buckets = buckets.select("bucket", F.col("m.part").alias("major"), blocks(F.col("m.n"), F.col("m.words")).alias("large"), blocks(F.col("n") - F.col("m.n"), F.col("words") - F.col("m.words")).alias("small"))
-    dealt = component.join(buckets, "bucket").withColumn("own", F.expr("IF(part = major, small + pmod(xxhash64(node), large), pmod(xxhash64(node), small))").cast("int"))
+    dealt = component.join(scratch.cut(buckets, "buckets"), "bucket").withColumn("own", F.expr("IF(part = major, small + pmod(xxhash64(node), large), pmod(xxhash64(node), small))").cast("int"))
     met = dealt.withColumn("other", F.explode(F.expr("sequence(0, IF(part = major, small, small + large) - 1)")))
     rows = met.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part").join(vectors, "node")
 
@@ -400,7 +401,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = scratch.cut(component.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("bucket"), "several")
     rest = scratch.cut(component.join(several, "bucket"), "rest")
     vectors = scratch.cut(_vectors(texts.join(rest.select("node").distinct(), "node").select("node", "text")), "vectors")
-    found = scratch.cut(_open_links(rest, vectors, idf), "found")
+    found = scratch.cut(_open_links(rest, vectors, idf, scratch), "found")
     roots = connected(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found.select("a", "b")), scratch, "all") if found.take(1) else stars
 
     ends = tested.union(found)

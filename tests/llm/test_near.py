@@ -169,7 +169,7 @@ def test_a_bucket_of_unlinked_texts_is_blocks_not_pairs(spark):
     idf = np.ones(1 << nd.IDF_BITS, np.float32)
     component = spark.createDataFrame([(7, n, 56, n) for n in range(2_000)], "bucket long, node long, size long, part long")
     vectors = nd._vectors(spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "node long, text string"))
-    assert [(sorted((a, b)), round(s, 2)) for a, b, s in nd._open_links(component, vectors, idf).collect()] == [([3, 1_700], 0.96)]
+    assert [(sorted((a, b)), round(s, 2)) for a, b, s in nd._open_links(component, vectors, idf, Scratch(spark, "t")).collect()] == [([3, 1_700], 0.96)]
 
 
 def test_links_name_a_similar_text(spark):
