@@ -31,7 +31,7 @@ class Rule:
     cell: int = 16
     #: Symbols of a block that one merge takes, and distinct contexts of an anchor that stay together.
     block: int = 48_000
-    many: int = 512
+    many: int = 128
     #: Texts are cut into runs of so many starting points (below 2**20 - length).
     segment: int = 1 << 19
 
@@ -399,15 +399,25 @@ def repeat_places(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     return out
 
 
-def spans_of(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal spans, in order, that the strings at the starts ``found`` (of one document) cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted({(f["at"] + r["lo"], f["at"] + r["hi"] + length - 1) for f in found or () for r in f["runs"]}):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def spans_of(found: pa.Array, length: int) -> pa.ListArray:
+    """For each row of ``found`` (null: none) the maximal spans (start, end), in order, that strings at its starts cover."""
+    counts = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(found)
+    runs = pc.struct_field(flat, "runs")
+    each = pc.list_value_length(runs).to_numpy(zero_copy_only=False)
+    runs = pc.list_flatten(runs)
+    at = np.repeat(pc.struct_field(flat, "at").to_numpy(zero_copy_only=False), each)
+    row = np.repeat(np.repeat(np.arange(len(found)), counts), each)
+    start, end = at + pc.struct_field(runs, "lo").to_numpy(zero_copy_only=False), at + pc.struct_field(runs, "hi").to_numpy(zero_copy_only=False) + length - 1
+    order = np.lexsort((start, row))
+    start, end, row = start[order].astype(np.int64), end[order].astype(np.int64), row[order]
+    gap = int(end.max(initial=0)) + 1  # rows one behind another on a line, with room between
+    reach = np.maximum.accumulate(end + row * gap) if len(row) else end
+    first = np.flatnonzero(np.concatenate([[True], (start + row * gap)[1:] > reach[:-1]])) if len(row) else row
+    own = row[first]
+    last = reach[np.append(first[1:], len(row)) - 1] - own * gap if len(row) else end
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(found)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start[first]), pa.array(last)], names=["start", "end"]))
 
 
 def repeated_passages(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
@@ -420,15 +430,13 @@ def repeated_passages(docs: DataFrame, rule: Rule = WORDS) -> DataFrame:
     return _passages(_keyed(docs), Scratch(docs.sparkSession, "passages"), rule)
 
 
-_SPANS_PA = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def _passages(base: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = [[{"start": a, "end": b} for a, b in spans_of(f, rule.length)] for f in batch["found"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["dk"], batch["th"], pa.array(rows, _SPANS_PA)], names=["dk", "th", "passages"])
+            yield pa.RecordBatch.from_arrays([batch["dk"], batch["th"], spans_of(batch["found"], rule.length)], names=["dk", "th", "passages"])
 
     return repeat_places(base, scratch, rule).mapInArrow(run, T.StructType([T.StructField("dk", T.LongType()), T.StructField("th", T.LongType()), T.StructField("passages", _SPANS)]))
 
@@ -454,14 +462,14 @@ def _removed(base: DataFrame, places: DataFrame, rule: Rule) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                spans, kept = [], []
-                for data, found in zip(part["text"].cast(pa.binary()).to_pylist(), part["found"].to_pylist()):
-                    own = spans_of(found, rule.length)
-                    spans.append([{"start": a, "end": b} for a, b in own])
-                    edges = [0, *(e for s in own for e in s), len(data)]
-                    kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                spans = spans_of(part["found"], rule.length)
+                at, edges = spans.offsets.to_pylist(), np.stack([spans.values.field("start"), spans.values.field("end")], 1).ravel().tolist()
+                kept = []
+                for data, a, b in zip(part["text"].cast(pa.binary()).to_pylist(), at[:-1], at[1:]):
+                    own = [0, *edges[2 * a : 2 * b], len(data)]
+                    kept.append(b"".join(data[x:y] for x, y in zip(own[::2], own[1::2])) if b > a else data)
                 sizes = pc.cast(pc.binary_length(part["text"]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, pa.array(spans, _SPANS_PA), pa.array(kept, pa.binary()), *(part[f.name] for f in more)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], sizes, spans, pa.array(kept, pa.binary()), *(part[f.name] for f in more)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
