@@ -72,10 +72,10 @@ PT = f"pt AS (SELECT c_custkey AS id, {X.replace('addr_key', 'c_custkey')} AS x,
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short straight segments: one per supplier and part of the first part block, with whole-number ends."""
-    return read(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").select("l_suppkey", "l_partkey").distinct().selectExpr(
+    """Short straight segments: one per supplier and part, with whole-number ends."""
+    return read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().selectExpr(
         "concat_ws('-', l_suppkey, l_partkey) AS seg", "CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 AS DOUBLE) AS x1", "CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 AS DOUBLE) AS y1", "CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 + l_partkey % 701 - 350 AS DOUBLE) AS x2", "CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 + l_suppkey * 13 % 601 - 300 AS DOUBLE) AS y2", "CAST(l_partkey % 97 AS DOUBLE) AS mass"
     )
 
 
-SG = "sg AS (SELECT concat_ws('-', l_suppkey, l_partkey) AS seg, CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 AS DOUBLE) AS x1, CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 AS DOUBLE) AS y1, CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 + l_partkey % 701 - 350 AS DOUBLE) AS x2, CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 + l_suppkey * 13 % 601 - 300 AS DOUBLE) AS y2, CAST(l_partkey % 97 AS DOUBLE) AS mass FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 10 = 0))"
+SG = "sg AS (SELECT concat_ws('-', l_suppkey, l_partkey) AS seg, CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 AS DOUBLE) AS x1, CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 AS DOUBLE) AS y1, CAST((l_suppkey * 7919 + l_partkey * 31) % 10007 + l_partkey % 701 - 350 AS DOUBLE) AS x2, CAST((l_suppkey * 104729 + l_partkey * 17) % 10009 + l_suppkey * 13 % 601 - 300 AS DOUBLE) AS y2, CAST(l_partkey % 97 AS DOUBLE) AS mass FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem))"

@@ -52,9 +52,9 @@ def _sql_cut() -> str:
     return f"{sql_cells(margin=3)}, cut AS (SELECT seg, cell, mass, (o - i) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS part FROM (SELECT *, greatest(0.0, {ins}) AS i, least(1.0, {outs}) AS o FROM (SELECT *, {', '.join(ts)} FROM sg, cells WHERE cx BETWEEN least(x1, x2) - 300 AND greatest(x1, x2) + 300 AND cy BETWEEN least(y1, y2) - 300 AND greatest(y1, y2) + 300) WHERE {' AND '.join(ok)}) WHERE i <= o)"
 
 
-@query(f"WITH {SG}, {_sql_cut()} SELECT seg, cell, round(part, 6) AS part FROM cut")
+@query(f"WITH {SG}, {_sql_cut()} SELECT seg, cell, round(part, 6) + 0.0::DOUBLE AS part FROM cut")
 def segment_cell_intersects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lt.cut_by_cells(inputs.segments(spark, sf_dir), grid()).select("seg", "cell", F.round("part", 6).alias("part"))
+    return lt.cut_by_cells(inputs.segments(spark, sf_dir), grid()).select("seg", "cell", (F.round("part", 6) + 0.0).alias("part"))
 
 
 @query(f"WITH {SG}, {_sql_cut()} SELECT seg, cell FROM (SELECT seg, cell, row_number() OVER (PARTITION BY seg ORDER BY round(part, 6) DESC, cell) AS k FROM cut) WHERE k = 1")
