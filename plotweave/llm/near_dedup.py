@@ -23,7 +23,7 @@ IDF_BITS = 20
 #: A sample is searched among shingles whose least possible value is below this over the text's weight, then among all.
 ENOUGH = 5.0
 #: Texts and words of a block that is compared with another as a whole, and texts that meet their pivot in one group.
-BLOCK_TEXTS, BLOCK_WORDS, STAR = 512, 1 << 18, 1024
+BLOCK_TEXTS, BLOCK_WORDS, STAR = 256, 1 << 18, 1024
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _P = np.uint64(0x9E3779B97F4A7C15)
