@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import sys
 import unicodedata
 from collections.abc import Sequence
 
@@ -10,16 +11,36 @@ from pyspark.sql import Column, functions as F
 
 
 @functools.lru_cache(1)
-def _fold_table() -> tuple[str, str]:
-    """Characters of the Latin, Greek and Cyrillic blocks that decompose to one character and marks, and that character."""
-    pairs = [(chr(c), d) for block in (range(0xA0, 0x530), range(0x1E00, 0x2000)) for c in block if (d := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) != chr(c) and len(d) == 1 and not unicodedata.category(chr(c)).startswith("M")]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """All characters that compatibility decomposition without marks turns into one other character, those characters, and a map of those that it turns into several.
+
+    Marks end the first string and have no partner in the second, so that ``translate`` drops them. Hangul syllables stay composed.
+    """
+    one, marks, several = {}, [], {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif (d := unicodedata.normalize("NFKD", c)) != c:
+            d = "".join(x for x in d if not unicodedata.combining(x))
+            if len(d) == 1:
+                one[c] = d
+            else:
+                several[c] = d
+    return "".join(one) + "".join(marks), "".join(one.values()), several
+
+
+def _expand(col: Column) -> Column:
+    """Ligatures, fractions and other characters that decompose to several; texts without any pass as they are."""
+    several = _fold_tables()[2]
+    pairs = F.create_map(*(F.lit(x) for kv in several.items() for x in kv))
+    letter = lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.element_at(pairs, c), c))
+    return F.when(F.length(F.translate(col, "".join(several), "")) == F.length(col), col).otherwise(F.array_join(F.transform(F.split(col, ""), letter), ""))
 
 
 def fold(col: Column) -> Column:
-    """Upper case without accents. Single letters with marks are mapped by a table, free combining marks are dropped; all in the JVM."""
-    source, target = _fold_table()
-    return F.regexp_replace(F.upper(F.translate(col, source, target)), r"\p{Mn}", "")
+    """Upper case after compatibility decomposition without marks; all in the JVM. Plain ASCII is only put in upper case."""
+    source, target, _ = _fold_tables()
+    return F.upper(F.when(F.octet_length(col) == F.length(col), col).otherwise(F.translate(_expand(col), source, target)))
 
 
 def normalise(col: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import wildcard_pattern
+from .lineage import settled
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str | list[str]) -> DataFrame:
@@ -45,9 +46,29 @@ def resolve(queries: DataFrame, vocabulary: DataFrame, query: str, word: str) ->
 
 
 def fuzzy_nearest(queries: DataFrame, vocabulary: DataFrame, query: str, word: str) -> DataFrame:
-    """query, nearest, distance by Levenshtein; of equal distances the first word in order. A diagnostic over distinct strings."""
-    q, v = queries.select(query).distinct(), vocabulary.select(F.col(word).alias("w")).distinct()
-    return q.crossJoin(v).groupBy(query).agg(F.min(F.struct(F.levenshtein(query, "w").alias("distance"), F.col("w").alias("nearest"))).alias("m")).select(query, "m.nearest", F.col("m.distance").cast("long").alias("distance"))
+    """query, nearest, distance by Levenshtein; of equal distances the first word in order. A diagnostic over distinct strings; nulls are left out.
+
+    The distance is at least the difference of lengths, so words are met by length: first those of the query's own, then
+    those that differ by one, and so on. A query with a word no farther than the differences seen is done.
+    """
+    q = settled(queries.select(query).where(F.col(query).isNotNull()).distinct().withColumn("_n", F.length(query)))
+    v = settled(vocabulary.select(F.col(word).alias("w")).where("w IS NOT NULL").distinct().withColumn("_m", F.length("w")))
+    sizes = q.agg(F.min("_n").alias("lo"), F.max("_n").alias("hi")).crossJoin(v.agg(F.min("_m").alias("least"), F.max("_m").alias("most"))).first()
+    done, best, missing = [], "struct<distance:int,nearest:string>", F.col("_best.distance").isNull()
+    rest = q.withColumn("_best", F.lit(None).cast(best))
+    farthest = -1 if sizes["lo"] is None or sizes["least"] is None else max(sizes["hi"] - sizes["least"], sizes["most"] - sizes["lo"], 0)
+    for gap in range(farthest + 1):
+        lengths = F.array_distinct(F.array(F.col("_n") - gap, F.col("_n") + gap))
+        met = rest.select(query, F.explode(lengths).alias("_m")).join(v, "_m").groupBy(query).agg(F.min(F.struct(F.levenshtein(query, "w").alias("distance"), F.col("w").alias("nearest"))).alias("_met"))
+        seen = settled(rest.join(met, query, "left").select(query, "_n", F.least("_best", "_met").alias("_best")))
+        done.append(seen.where(F.col("_best.distance") <= gap))
+        rest = seen.where(missing | (F.col("_best.distance") > gap))
+        if not rest.take(1):
+            break
+    out = rest
+    for part in done:
+        out = out.unionByName(part)
+    return out.select(query, "_best.nearest", F.col("_best.distance").cast("long").alias("distance"))
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

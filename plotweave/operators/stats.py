@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tests import t_p
+from .lineage import settled
 
 
 def average_rank(col: str, partition: Sequence[str] = ()) -> Column:
@@ -21,11 +22,29 @@ def average_rank(col: str, partition: Sequence[str] = ()) -> Column:
     return F.when(F.col(col).isNotNull(), F.rank().over(own.orderBy(col)) + (F.count("*").over(ties) - 1) / 2)
 
 
+def _values(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
+    """The kept columns, m (a column's name) and v (its value), without nulls."""
+    return df.select(*keep, F.explode(F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols))).alias("s")).select(*keep, "s.*").where("v IS NOT NULL")
+
+
+def _placed(values: DataFrame, down: bool = False) -> DataFrame:
+    """m, v, n (rows of this value) and before (rows of m that come earlier) for each distinct value.
+
+    Counts of values are dealt by range; a task adds up its own range, and gets the sums of the ranges before as one row
+    for each, so no task sorts a whole column.
+    """
+    by = ["m", F.desc("v") if down else F.asc("v")]
+    dealt = settled(values.groupBy("m", "v").agg(F.count("*").alias("n")).repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy("_p", "m").agg(F.sum("n").alias("_s"))
+    earlier = sums.select("_p", "m", F.coalesce(F.sum("_s").over(Window.partitionBy("m").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("_p", "m").orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_o", own).join(earlier, ["_p", "m"]).select("m", "v", "n", (F.col("_o") + F.col("_b")).alias("before"))
+
+
 def ranks(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
-    """key and r_<col> for each column: average ranks. All columns are ranked in one long frame, each in its own partition."""
-    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("m"), F.col(c).cast("double").alias("v")) for c in cols))).alias("s")).select(key, "s.*").where("v IS NOT NULL")
-    ranked = long.withColumn("r", F.rank().over(Window.partitionBy("m").orderBy("v")) + (F.count("*").over(Window.partitionBy("m", "v")) - 1) / 2)
-    return ranked.groupBy(key).pivot("m", list(cols)).agg(F.first("r")).withColumnsRenamed({c: f"r_{c}" for c in cols})
+    """key and r_<col> for each column: average ranks, found for the distinct values of all columns at once."""
+    place = _placed(_values(df, cols)).select("m", "v", (F.col("before") + (F.col("n") + 1) / 2).alias("r"))
+    return _values(df, cols, key).join(place, ["m", "v"]).groupBy(key).pivot("m", list(cols)).agg(F.first("r")).withColumnsRenamed({c: f"r_{c}" for c in cols})
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
@@ -44,10 +63,11 @@ def descriptives(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def top_share(df: DataFrame, cols: Sequence[str], share: float = 0.2) -> DataFrame:
     """measure, n, top (sum of the ceil(share * n) largest), ratio top / rest, top_share."""
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in cols))).alias("s")).select("s.*").where("v IS NOT NULL")
-    placed = long.withColumn("k", F.row_number().over(Window.partitionBy("measure").orderBy(F.desc("v")))).withColumn("n", F.count("*").over(Window.partitionBy("measure")))
-    top = F.sum(F.when(F.col("k") <= F.ceil(F.lit(share) * F.col("n")), F.col("v")).otherwise(0.0))
-    return placed.groupBy("measure").agg(F.max("n").alias("n"), top.alias("top"), F.try_divide(top, F.sum("v") - top).alias("ratio"), (top / F.sum("v")).alias("top_share"))
+    place = _placed(_values(df, cols), down=True)
+    place = place.join(place.groupBy("m").agg(F.sum("n").alias("all")), "m")
+    taken = F.least(F.col("n"), F.greatest(F.ceil(F.lit(share) * F.col("all")) - F.col("before"), F.lit(0)))
+    top, total = F.sum(F.col("v") * taken), F.sum(F.col("v") * F.col("n"))
+    return place.groupBy(F.col("m").alias("measure")).agg(F.max("all").alias("n"), top.alias("top"), F.try_divide(top, total - top).alias("ratio"), (top / total).alias("top_share"))
 
 
 @dataclass(frozen=True)

@@ -75,10 +75,16 @@ def declared_counts(counts: DataFrame, declared: dict[str, int]) -> DataFrame:
     return want.join(counts, "name", "left").select("name", "n", F.col("declared").cast("long").alias("declared"), F.coalesce(F.col("n") == F.col("declared"), F.lit(False)).alias("ok"))
 
 
-def digest(df: DataFrame, key: str, content: str) -> DataFrame:
-    """One row: the number of parts and a digest over their keys and contents in order of the keys. Parts are files, whose digests, not contents, meet."""
-    parts = df.select(F.col(key).cast("string").alias("k"), F.sha2(F.col(content).cast("binary"), 256).alias("d"))
-    return parts.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: F.concat(s["k"], s["d"])), ""), 256).alias("digest"))
+def digest(df: DataFrame, key: str, content: str, digits: int = 3) -> DataFrame:
+    """One row: the number of parts and a digest of digests. Parts are files, whose digests, not contents, meet.
+
+    The first ``digits`` hexadecimal digits of a key's hash name its group. A group's digest is over keys and content
+    digests in order of the keys, the last one over groups in order, so a task holds a group, never all parts.
+    """
+    parts = df.select(F.col(key).cast("string").alias("k"), F.sha2(F.col(content).cast("binary"), 256).alias("d")).withColumn("g", F.substring(F.sha2(F.col("k").cast("binary"), 256), 1, digits))
+    text = lambda a, b: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda s: F.concat(s[a], s[b])), ""), 256)
+    groups = parts.groupBy("g").agg(F.count("*").alias("n"), text("k", "d").alias("d"))
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), text("g", "d").alias("digest"))
 
 
 def worst(df: DataFrame, score: str, n: int, *ties: str) -> DataFrame:

@@ -272,3 +272,48 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "m")).orderBy("value").first()[0] == '{"k":1,"s":"a","v":null}'
     assert sinks.markdown(df.orderBy("k")).splitlines()[2:] == ["| 1 | a |  |", "| 2 | b\\|c | 1 |"]
     assert sinks.side_by_side({"x": df, "y": df}, ["k"]).columns == ["k", "s_x", "v_x", "s_y", "v_y"]
+
+
+def test_folding_follows_compatibility_decomposition(spark):
+    import unicodedata
+
+    letters = [chr(c) for c in [*range(1, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x11000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F300)] if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["ﬁnca № ½ ｆｕｌｌ ǆ ﷺ", "Ação", "", "plain", "a…b™", *(f"a{c}b" for c in letters)]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    # upper case is Spark's on both sides, as the runtimes' Unicode versions differ
+    df = spark.createDataFrame([*((t, plain(t)) for t in texts), (None, None)], "t string, p string")
+    assert df.where(~text.fold(F.col("t")).eqNullSafe(F.upper("p"))).collect() == []
+    assert [r[0] for r in df.limit(2).select(text.fold(F.col("t"))).collect()] == ["FINCA NO 1⁄2 FULL DŽ صلى الله عليه وسلم".replace("DŽ", "DZ"), "ACAO"]
+
+
+def test_fuzzy_nearest_looks_at_all_lengths(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    queries = ["", "a", "abcd", "abcdefghij", "zzzz", "kitten", "kitten"]
+    words = ["abc", "abce", "xabcd", "sitting", "abcdefghijklmnop", "q"]
+    got = {(r["q"], r["nearest"], r["distance"]) for r in link.fuzzy_nearest(spark.createDataFrame([(q,) for q in [*queries, None]], "q string"), spark.createDataFrame([(w,) for w in [*words, None]], "w string"), "q", "w").collect()}
+    assert got == {(q, *min((distance(q, w), w) for w in words)[::-1]) for q in queries}
+    none = link.fuzzy_nearest(spark.createDataFrame([("a",)], "q string"), spark.createDataFrame([], "w string"), "q", "w").collect()
+    assert [tuple(r) for r in none] == [("a", None, None)]
+
+
+def test_ranks_by_ranges_equal_ranks_by_sorting(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    own = pd.DataFrame({"id": range(500), "a": rng.integers(0, 20, 500).astype(float), "b": rng.normal(size=500)})
+    df = spark.createDataFrame(own).selectExpr("id", "CASE WHEN id % 7 > 0 THEN a END AS a", "b").repartition(5)
+    got = stats.ranks(df, ["a", "b"], "id").toPandas().sort_values("id").reset_index(drop=True)
+    want = own.assign(a=own["a"].where(own["id"] % 7 > 0))
+    for c in "ab":
+        np.testing.assert_array_equal(got[f"r_{c}"].to_numpy(), want[c].rank().to_numpy())
+    top = {r["measure"]: (r["n"], round(r["top"], 9)) for r in stats.top_share(df, ["a", "b"]).collect()}
+    for c in "ab":
+        v = np.sort(want[c].dropna().to_numpy())[::-1]
+        assert top[c] == (len(v), round(v[: int(np.ceil(0.2 * len(v)))].sum(), 9))
