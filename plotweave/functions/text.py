@@ -117,6 +117,15 @@ def decode_measure(name: Column) -> Column:
     return F.when(name.rlike(MEASURE_NAME), F.struct(part(1).alias("stem"), *(part(i).cast("long").alias(n) for i, n in enumerate(("radius", "gamma", "beta", "offset"), 2))))
 
 
+# Fixed value: a kind, a radius or g for none, one of eight measures and a digit in the name of a network plugin's column.
+PLUGIN_NAME = r"^[TG](g|[0-9]{1,5})(Acc|Btw|Cen|Opp|Cvg|Pol|Rea|Cnc)[0-9]$"
+
+
+def plugin_column(name: Column) -> Column:
+    """Whether a network plugin's recipe could have given this name; false for null."""
+    return F.coalesce(name.rlike(PLUGIN_NAME), F.lit(False))
+
+
 def before_last(col: Column, mark: str) -> Column:
     """What stands before the last mark, as a split from the right gives it."""
     return F.regexp_extract(col, rf"^(.*)\{mark}[^{mark}]*$", 1)

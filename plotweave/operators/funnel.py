@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import positive
+from .stats import quantiles
 
 STEPS = ("positivity", "iqr_outliers")
 
 
 def fence(df: DataFrame, col: str, multiplier: float = 1.5) -> DataFrame:
-    """One row: lo and hi of the inclusive fence around the quartiles (linear interpolation) of the rows that are there."""
-    q = df.agg(F.percentile(col, [0.25, 0.75]).alias("q"))
-    width = F.lit(multiplier) * (F.col("q")[1] - F.col("q")[0])
-    return q.select((F.col("q")[0] - width).alias("lo"), (F.col("q")[1] + width).alias("hi"))
+    """One row: lo and hi of the inclusive fence around the quartiles (linear interpolation) of the rows that are there; nulls where there are none."""
+    q = quantiles(df, [col], [0.25, 0.75]).agg(F.max(F.when(F.col("share") == 0.25, F.col("value"))).alias("q1"), F.max(F.when(F.col("share") == 0.75, F.col("value"))).alias("q3"))
+    width = F.lit(multiplier) * (F.col("q3") - F.col("q1"))
+    return q.select((F.col("q1") - width).alias("lo"), (F.col("q3") + width).alias("hi"))
 
 
 def within_fence(df: DataFrame, col: str, multiplier: float = 1.5) -> DataFrame:

@@ -109,6 +109,16 @@ def cascade(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, F.Colum
     raise ValueError("no key matches")
 
 
+def realigned(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows in order of a key that must be 0 to n - 1, each once; raises for any other set of keys."""
+    seen = df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), F.min(key).alias("least"), F.max(key).alias("most")).first()
+    if seen["n"] != n:
+        raise ValueError(f"rows changed: {n} in, {seen['n']} out")
+    if n and (seen["keys"], seen["least"], seen["most"]) != (n, 0, n - 1):
+        raise ValueError(f"{key} isn't 0 to {n - 1}, each once")
+    return df.orderBy(key)
+
+
 def set_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: keys in both, in a alone and in b alone."""
     both = a.select(key).distinct().withColumn("in_a", F.lit(True)).join(b.select(key).distinct().withColumn("in_b", F.lit(True)), key, "full")

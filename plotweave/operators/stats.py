@@ -55,10 +55,27 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame
     return both.agg(F.array(*row).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """m (a column's name), share, value: exact quantiles with linear interpolation; a column without values has no row.
+
+    Each distinct value knows how many rows come before it, so the one or two values around a rank are picked by a filter.
+    """
+    place = _placed(_values(df, cols))
+    ends = place.groupBy("m").agg(F.sum("n").alias("all")).select("m", F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share"), "all")
+    ends = ends.withColumn("at", F.col("share") * (F.col("all") - 1)).withColumns({"lo": F.floor("at"), "hi": F.ceil("at")})
+    holds = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("n"))
+    near = place.join(ends, "m").where(holds("lo") | holds("hi"))
+    low, high = F.max(F.when(holds("lo"), F.col("v"))), F.max(F.when(holds("hi"), F.col("v")))
+    per = near.groupBy("m", "share").agg(low.alias("l"), high.alias("h"), F.max("at").alias("at"))
+    return per.select("m", "share", F.when(F.col("l") == F.col("h"), F.col("l")).otherwise((F.ceil("at") - F.col("at")) * F.col("l") + (F.col("at") - F.floor("at")) * F.col("h")).alias("value"))
+
+
 def descriptives(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """measure, n, mean, median, relative range and CV in percent; one pass."""
-    row = [F.struct(F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), ((F.max(c) - F.min(c)) / F.avg(c)).alias("relative_range"), (F.stddev_samp(c) / F.avg(c) * 100).alias("cv")) for c in cols]
-    return df.agg(F.array(*row).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    """measure, n, mean, median, relative range and CV in percent; medians come from ``quantiles``."""
+    row = [F.struct(F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"), ((F.max(c) - F.min(c)) / F.avg(c)).alias("relative_range"), (F.stddev_samp(c) / F.avg(c) * 100).alias("cv")) for c in cols]
+    medians = quantiles(df, cols, [0.5]).select(F.col("m").alias("measure"), F.col("value").alias("median"))
+    out = df.agg(F.array(*row).alias("r")).select(F.explode("r").alias("r")).select("r.*").join(medians, "measure", "left")
+    return out.select("measure", "n", "mean", "median", "relative_range", "cv")
 
 
 def top_share(df: DataFrame, cols: Sequence[str], share: float = 0.2) -> DataFrame:

@@ -75,3 +75,13 @@ def folds(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def cell_text(v: Column) -> Column:
     """Ten and more with one decimal, smaller figures with three."""
     return F.when(F.abs(v) >= 10, F.format_string("%.1f", v)).otherwise(F.format_string("%.3f", v))
+
+
+def checked_variants(settings: dict, variants: dict[str, dict], headline: str, alternates: Sequence[str]) -> dict[str, dict]:
+    """The variants, after a check that the headline repeats the settings of the same names and that every alternate is there."""
+    for name, value in variants[headline].items():
+        if name in settings and settings[name] != value:
+            raise ValueError(f"settings drift apart: {name} is {settings[name]!r}, but {value!r} in {headline}")
+    if unknown := [a for a in alternates if a not in variants]:
+        raise KeyError(f"unknown variants: {', '.join(unknown)}")
+    return dict(variants)

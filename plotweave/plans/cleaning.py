@@ -54,6 +54,14 @@ def param_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "name", "d.stem", "d.radius", "d.gamma", "d.beta", F.col("d.offset").alias("k_offset"))
 
 
+_COLUMN = "concat(CASE p_partkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'G' ELSE 'X' END, CASE WHEN p_partkey % 4 = 0 THEN 'g' ELSE CAST(p_partkey * 31 AS VARCHAR(20)) END, CASE p_partkey % 5 WHEN 0 THEN 'Acc' WHEN 1 THEN 'Btw' WHEN 2 THEN 'Rea' WHEN 3 THEN 'Cnc' ELSE 'Abc' END, CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '1' END)"
+
+
+@query(f"SELECT p_partkey, {_COLUMN} AS name, regexp_matches({_COLUMN}, '{text.PLUGIN_NAME}') AS known FROM part")
+def plugin_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.read(spark, sf_dir, "part").selectExpr("p_partkey", f"{_COLUMN} AS name").withColumn("known", text.plugin_column(F.col("name")))
+
+
 _RAW = "CASE p_partkey % 6 WHEN 0 THEN 'INDETERMINADO' WHEN 1 THEN '' WHEN 2 THEN 'NA' WHEN 3 THEN '12,5' WHEN 4 THEN ' ' || p_size || '.25 ' ELSE CAST(p_size AS VARCHAR) END"
 
 

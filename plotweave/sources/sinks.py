@@ -50,6 +50,14 @@ def markdown(df: DataFrame, most: int = 200) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
 
 
+def report(title: str, sections: Sequence[tuple[str, str | DataFrame]], most: int = 200) -> str:
+    """A Markdown report: each section's heading over its text, or over its table of report size."""
+    parts = [f"# {title}"]
+    for heading, body in sections:
+        parts += [f"## {heading}", body if isinstance(body, str) else markdown(body, most)]
+    return "\n\n".join(parts) + "\n"
+
+
 def label_columns(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Value columns get a variant's label, so that variants can be joined side by side."""
     return df.select(*keys, *(F.col(c).alias(f"{c}_{label}") for c in df.columns if c not in keys))

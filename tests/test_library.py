@@ -317,3 +317,46 @@ def test_ranks_by_ranges_equal_ranks_by_sorting(spark):
     for c in "ab":
         v = np.sort(want[c].dropna().to_numpy())[::-1]
         assert top[c] == (len(v), round(v[: int(np.ceil(0.2 * len(v)))].sum(), 9))
+
+
+def test_quantiles_equal_those_of_sorting(spark):
+    rng = np.random.default_rng(5)
+    v, w = rng.integers(0, 9, 101).astype(float), rng.normal(size=101)
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(v, w)], "v double, w double, none double").repartition(4)
+    got = {(r["m"], r["share"]): r["value"] for r in stats.quantiles(df, ["v", "w", "none"], [0.0, 0.1, 0.25, 0.5, 1.0]).collect()}
+    assert got.keys() == {(m, s) for m in "vw" for s in (0.0, 0.1, 0.25, 0.5, 1.0)}
+    for (m, s), x in got.items():
+        assert x == pytest.approx(np.quantile(v if m == "v" else w, s), abs=1e-12)
+    assert stats.quantiles(df.where("v < 0"), ["v"], [0.5]).collect() == []
+    assert tuple(funnel.fence(df.where("v < 0"), "v").first()) == (None, None)
+
+
+def test_plugin_columns(spark):
+    names = ["TgAcc1", "G800Btw0", "T12345Cnc9", "T123456Cnc9", "XgAcc1", "TgAcc", "TgAbc1", "TgAccx", "T Acc1", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").withColumn("ok", text.plugin_column(F.col("n")))
+    assert [r["n"] for r in df.where("ok").collect()] == ["TgAcc1", "G800Btw0", "T12345Cnc9"]
+
+
+def test_rows_come_back_in_their_places(spark):
+    df = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "k int, v string")
+    assert [r["v"] for r in link.realigned(df, "k", 3).collect()] == ["a", "b", "c"]
+    assert link.realigned(df.where("k < 0"), "k", 0).collect() == []
+    for other, n in ((df, 4), (df.where("k > 0"), 2), (df.union(df), 6)):
+        with pytest.raises(ValueError):
+            link.realigned(other, "k", n)
+
+
+def test_settings_that_drift_apart():
+    from plotweave.operators import variants
+
+    settings, head = {"price": "median", "other": 1}, {"price": "median", "extra": 2}
+    assert variants.checked_variants(settings, {"head": head, "b": {}}, "head", ["b"]) == {"head": head, "b": {}}
+    with pytest.raises(ValueError, match="price"):
+        variants.checked_variants(settings | {"price": "mean"}, {"head": head}, "head", [])
+    with pytest.raises(KeyError, match="c"):
+        variants.checked_variants(settings, {"head": head}, "head", ["c"])
+
+
+def test_report(spark):
+    df = spark.createDataFrame([("a|b", 2.0)], "k string, v double")
+    assert sinks.report("T", [("Text", "words"), ("Table", df)]) == "# T\n\n## Text\n\nwords\n\n## Table\n\n| k | v |\n|---|---|\n| a\\|b | 2 |\n"
