@@ -72,14 +72,20 @@ NORMALS = tuple((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in
 def cut_by_cells(df: DataFrame, lattice: Lattice, ends: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """One row per segment and cell that it meets, with ``cell`` and ``part``, the length inside.
 
-    Candidates come from the segment's box on the lattice; a cell is the meet of three bands, and clipping the segment's
-    parameter by each (Liang and Barsky) leaves an interval that is empty exactly when they don't meet.
+    Columns within reach of the segment are walked, and in each the rows within reach of the part of the segment that runs
+    there, so candidates grow with the length and not with the box. A cell is the meet of three bands, and clipping the
+    segment's parameter by each (Liang and Barsky) leaves an interval that is empty exactly when they don't meet.
     """
     x1, y1, x2, y2 = (F.col(c) for c in ends)
     r, s = lattice.radius, lattice.spacing
-    low, high = F.floor((F.least(x1, x2) - r - lattice.origin_x) / lattice.step), F.ceil((F.greatest(x1, x2) + r - lattice.origin_x) / lattice.step)
-    top, bottom = F.floor((lattice.origin_y - F.greatest(y1, y2) - s) / s), F.ceil((lattice.origin_y - F.least(y1, y2) + s / 2) / s)
-    pairs = df.withColumn("_c", F.explode(F.sequence(low, high))).withColumn("_r", F.explode(F.sequence(top, bottom)))
+    margin = s * 1e-9
+    low, high = F.ceil((F.least(x1, x2) - (r + margin) - lattice.origin_x) / lattice.step), F.floor((F.greatest(x1, x2) + (r + margin) - lattice.origin_x) / lattice.step)
+    columns = df.withColumn("_c", F.explode(F.sequence(low, high)))
+    across = lambda side: F.least(F.greatest(lattice.centre_x(F.col("_c")) + side, F.least(x1, x2)), F.greatest(x1, x2))
+    enters, leaves = (F.when(x1 != x2, y1 + F.try_divide(across(side) - x1, x2 - x1) * (y2 - y1)).otherwise(y) for side, y in ((-r - margin, y1), (r + margin, y2)))
+    middle = F.lit(lattice.origin_y) - F.pmod(F.col("_c"), F.lit(2)) * (s / 2)
+    ranges = columns.withColumns({"_top": F.ceil((middle - F.greatest(enters, leaves) - (s / 2 + margin)) / s), "_bottom": F.floor((middle - F.least(enters, leaves) + (s / 2 + margin)) / s)})
+    pairs = ranges.withColumn("_r", F.explode(F.sequence("_top", "_bottom"))).drop("_top", "_bottom")
     cx, cy = lattice.centre_x(F.col("_c")), lattice.centre_y(F.col("_r"), F.col("_c"))
     enter, leave, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
     for nx, ny in NORMALS:
