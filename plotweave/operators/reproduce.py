@@ -61,17 +61,19 @@ def point_reproduction(points: DataFrame, nearest: DataFrame, seg: DataFrame, me
     )
 
 
-def cell_counts(pairs: DataFrame, cells: DataFrame, target: DataFrame) -> DataFrame:
+def cell_counts(pairs: DataFrame, cells: DataFrame, target: DataFrame, rules: Sequence[str]) -> DataFrame:
     """Per rule: pairs, target_pairs, segments, cells_exact, cells_total, cells_exact_share, most (largest difference).
 
-    ``pairs`` has rule, seg and cell, ``target`` cell and n. A cell without a target agrees when no segment lies in it.
+    ``pairs`` has rule, seg and cell, ``target`` cell and n. A cell without a target agrees when no segment lies in it, and
+    a rule of ``rules`` without pairs has zeros.
     """
-    rules = pairs.select("rule").distinct()
+    each = F.explode(F.array(*map(F.lit, rules)))
     got = pairs.groupBy("rule", "cell").agg(F.count("*").alias("got"))
-    grid = cells.select("cell").join(target.select("cell", "n"), "cell", "left").crossJoin(F.broadcast(rules)).join(got, ["rule", "cell"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    grid = cells.select("cell").join(target.select("cell", "n"), "cell", "left").withColumn("rule", each).join(got, ["rule", "cell"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
     agree = F.coalesce(F.col("got") == F.col("n"), F.col("got") == 0)
     out = grid.groupBy("rule").agg(F.sum("got").alias("pairs"), F.sum("n").alias("target_pairs"), F.count_if(agree).alias("cells_exact"), F.count("*").alias("cells_total"), F.avg(agree.cast("double")).alias("cells_exact_share"), F.max(F.abs(F.col("got") - F.col("n"))).alias("most"))
-    return out.join(pairs.groupBy("rule").agg(F.count_distinct("seg").alias("segments")), "rule")
+    counted = pairs.groupBy("rule").agg(F.count_distinct("seg").alias("segments"))
+    return out.join(counted, "rule", "left").withColumn("segments", F.coalesce("segments", F.lit(0)))
 
 
 def area_score(df: DataFrame, rebuilt: str, reference: str) -> DataFrame:

@@ -70,7 +70,7 @@ def cell_count_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = at_middle(spark, sf_dir)
     pairs = q.select(F.lit("middle").alias("rule"), "seg", "cell").union(q.where("wide > 0").select(F.lit("wide"), "seg", "cell"))
     target = q.where("length(cell) <> 4").groupBy("cell").agg(F.count("*").alias("n"))
-    out = reproduce.cell_counts(pairs, grid().cells(spark, EXTENT, EXTENT), target)
+    out = reproduce.cell_counts(pairs, grid().cells(spark, EXTENT, EXTENT), target, ["middle", "wide"])
     return out.withColumn("cells_exact_share", F.round("cells_exact_share", 9))
 
 
