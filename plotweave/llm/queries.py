@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, decontaminate, lines, near_dedup, packing, quality, secrets, sharding, suffix_dedup, tokens, warc
+from . import audit, decontaminate, lines, near_dedup, negatives, packing, quality, secrets, sharding, substring_dedup, suffix_dedup, tokens, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,9 +51,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_minhash_near_dedup, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing, op12_filter_audit)}
-ORACLE_SQL = {"op5_line_dedup": lines.LINES_SQL, "op8_decontamination": decontaminate.DECONTAMINATION_SQL, "op9_warc": warc.WARC_SQL, "op12_filter_audit": audit.AUDIT_SQL}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages_digest(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_minhash_near_dedup, op4_sharding, op5_line_dedup, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing, op11_hard_negatives, op12_filter_audit, op13_substring_dedup)}
+ORACLE_SQL = {"op5_line_dedup": lines.LINES_SQL, "op8_decontamination": decontaminate.DECONTAMINATION_SQL, "op9_warc": warc.WARC_SQL, "op11_hard_negatives": negatives.NEGATIVES_SQL, "op12_filter_audit": audit.AUDIT_SQL}
