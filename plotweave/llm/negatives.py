@@ -192,7 +192,7 @@ def hard_negatives(rows: DataFrame, every: int = 100, vec_id: str = "vec_id", la
     label; negatives rows of other labels whose score is from 30 to 90 hundredths of the positive's. Scores are integer
     inner products of what ``quantised`` gives, higher first, ties by the smaller vec_id. See there for nulls, non-finite
     components and repeated rows. A shorter vector lacks components, which count as 0; products of vectors have to stay
-    below 2**61 (else ValueError); an empty table gives an empty one; other columns, whatever their names, are not read.
+    below 2**56 (else ValueError); an empty table gives an empty one; other columns, whatever their names, are not read.
 
     All anchors meet all rows: blocks of about BLOCK anchors are broadcast one after the other, and each passes over the
     table a few times (one time a digit, and once to gather). No pair is ever a row. For each block the driver holds its
@@ -205,7 +205,7 @@ def hard_negatives(rows: DataFrame, every: int = 100, vec_id: str = "vec_id", la
     chosen = F.col("vec_id") % every == 0
     square = F.aggregate("q", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     n, width, most = table.agg(F.count_if(chosen), F.max(F.size("q")), F.max(square)).first()
-    if n and most >= 2.0**61:
+    if n and most >= 2.0**56:
         raise ValueError("components are too large for integer scores")
     blocks = -(-n // (BLOCK * 3 // 4)) if n > BLOCK else 1
     of = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(blocks))

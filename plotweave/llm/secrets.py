@@ -20,7 +20,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_base64")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: kind, run of the class, window, bits a character, what a flagged window's run must hold
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-fA-F]{24,}"), 24, 3.0, (r"[0-9]", r"[a-fA-F]")),
@@ -28,11 +28,13 @@ CLASSES = (
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.75, (r"[0-9].*[0-9]", r"[A-Z]", r"[a-z]", r"[+/_=-]")),
 )
 #: A run of letters and digits in a candidate is not scanned when one of these matches in it; a candidate isn't when one
-#: of these labels stands before it (quotes, white space of any length and a separator may lie between), or when a scheme's
-#: end lies anywhere before it in the same run of characters without white space.
+#: of these labels stands before it (quotes, white space of any length and a separator may lie between), or when it lies in
+#: the host or path of a URL. What stands before the host's @, and what follows the path, is scanned.
 ALLOW_INSIDE = tuple(re.compile(p, re.I) for p in (r"example|sample|placeholder|dummy|changeme|your[_-]?(key|token)", r"^(.)\1*$", r"0123456789|abcdefghij"))
 ALLOW_LABELS = ("sha1", "sha224", "sha256", "sha384", "sha512", "md5", "integrity", "checksum", "commit", "uuid")
 SCHEME = "://"
+#: Ends the path: a query, a fragment, the next field of a query that holds the URL, or what can't be in one.
+PATH_END = re.compile(r"""[?#&"'`<>\\{}|^,]""")
 #: What lies between white space and may hold a candidate.
 TOKEN = re.compile(r"\S{20,}")
 
@@ -93,8 +95,22 @@ def _without_allowed(word: str) -> str:
 def entropy_spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Every class scans each candidate; spans that spans of narrower classes cover are left out."""
     for token in TOKEN.finditer(text):
-        scheme = text.find(SCHEME, token.start(), token.end())
-        yield from _candidate_spans(text, token.start(), token.end() if scheme < 0 else scheme)
+        for start, end in _outside_paths(text, token.start(), token.end()):
+            yield from _candidate_spans(text, start, end)
+
+
+def _outside_paths(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The pieces of a run without white space that aren't the host and path of a URL."""
+    while (scheme := text.find(SCHEME, start, end)) >= 0:
+        yield start, scheme
+        host = scheme + len(SCHEME)
+        found = PATH_END.search(text, host, end)
+        start = found.start() if found else end
+        slash = text.find("/", host, start)
+        at = text.rfind("@", host, slash if slash >= 0 else start)
+        if at >= 0:
+            yield host, at
+    yield start, end
 
 
 def _labelled(text: str, at: int) -> bool:

@@ -119,6 +119,45 @@ def test_verdict_against_plain_compression(spark):
     assert len(verdicts) >= 3
 
 
+def test_urls_hide_their_host_and_path_alone():
+    key = "q7Zp2LxV9mK4tR8wYb3NcJ6hGd5sFv1X"
+    found = lambda t: {t[a:b] for k, a, b in secrets.find_spans(t) if k.startswith("entropy")}
+    between = ",".join(f'"f{i}":"v{i}"' for i in range(120))
+    for text in (
+        f'{{"key":"{key}"}}',
+        f'{{"url":"https://x.com/a","key":"{key}"}}',
+        f'{{"url":"https://x.com/a",{between},"key":"{key}"}}',
+        f"postgres://user:{key}@host/db",
+        f"https://{key}@host/db",
+        f"https://x.com/a?u=https://y.org/b&key:{key}",
+        f"https://x.com/a#{key}",
+        f"<a href='https://x.com/a'>{key}</a>",
+    ):
+        assert any(key in f for f in found(text)), text
+    for text in (f"https://x.com/{key}", f"https://x.com/a@b/{key}/c", f"git+ssh://user@host/{key}?q=1", f"see https://x.com/a?b=https://y.org/{key}"):
+        assert not found(text), text
+
+
+def test_entropy_of_random_texts_beside_all_windows():
+    rng = random.Random(8)
+    classes = [("0123456789abcdefABCDEF", 24, 24, 3.0, ("0-9", "a-fA-F")), ("0-9A-Za-z", 20, 20, 3.75, ("0-9.*0-9", "A-Z", "a-z")), ("0-9A-Za-z+/_=-", 20, 20, 3.75, ("0-9.*0-9", "A-Z", "a-z", "+/_=-"))]
+    needs = lambda run, of: all(re.search("[" + n.replace(".*", "].*[") + "]", run, re.S) for n in of)
+    for _ in range(60):
+        parts = ["".join(rng.choices(rng.choice(["0123456789abcdef", "abcdefghijklmnop", "ABCXYZ0189qrst", "aB3+/kQ9_zR=-Lm7"]), k=rng.randint(1, 70))) for _ in range(12)]
+        text = "".join(p + rng.choice([" ", ".", "(", "\n", "/", "*"]) for p in parts)
+        want = set()
+        for cand in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            for chars, least, width, bits, of in classes:
+                for run in re.finditer(f"[{chars}]+", cand[0]):
+                    if len(run[0]) < least or not needs(run[0], of):
+                        continue
+                    for i in range(len(run[0]) - width + 1):
+                        if -sum(c / width * math.log2(c / width) for c in Counter(run[0][i : i + width]).values()) >= bits - 1e-9:
+                            want |= set(range(cand.start() + run.start() + i, cand.start() + run.start() + i + width))
+        if not re.search("abcdefghij|0123456789", text):
+            assert {p for k, a, b in secrets.find_spans(text) if k.startswith("entropy") for p in range(a, b)} == want
+
+
 def test_entropy_and_allow_list():
     key = "q7Zp2LxV9mK4tR8wYb3N"
     assert ("entropy_alnum", 4, 24) in secrets.find_spans("use " + key)
