@@ -167,14 +167,23 @@ def variance_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_row(spark, stats.vif(sample(spark, sf_dir), ["x1", "x2"]))
 
 
+def _measure_rows(d: DataFrame) -> DataFrame:
+    """A job per measure: the log value on the log measure."""
+    return d.select("id", "v", F.explode(F.array(*(F.struct(F.lit(m).alias("job"), F.ln(m).alias("m")) for m in inputs.MEASURES))).alias("s")).select("s.job", "id", "v", "s.m")
+
+
 @query()
 def sarar_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job per measure on the same links: lag and error model of the log value on the log measure."""
+    """Lag and error model of each measure, all on the same links."""
+    d = sample(spark, sf_dir).persist()
+    return spreg.fit_jobs(_measure_rows(d), _weights(d), "v", ["m"])
+
+
+@query()
+def selected_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each measure the model that its LM tests select, fitted."""
     d = sample(spark, sf_dir).persist()
-    w = _weights(d)
-    rows = d.select("id", "v", F.explode(F.array(*(F.struct(F.lit(m).alias("job"), F.ln(m).alias("m")) for m in inputs.MEASURES))).alias("s")).select("s.job", "id", "v", "s.m")
-    links = w.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in inputs.MEASURES], "job string"))).select("job", "i", "j", "w")
-    return spreg.fit_jobs(rows, links, "v", ["m"])
+    return spreg.fit_jobs(_measure_rows(d), _weights(d), "v", ["m"], "selected")
 
 
 @query()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotweave.functions import numeric, tests as tail, text
-from plotweave.operators import derive, funnel, graph, lattice, link, near, rank, spreg, stats, validate, weights
+from plotweave.operators import derive, funnel, graph, lattice, link, near, rank, stats, validate, weights
 from plotweave.sources import layers, sinks, tables
 
 
@@ -159,25 +159,6 @@ def test_tails():
     assert tail.t_p(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-10)
 
 
-def test_lag_and_error_model_is_recovered():
-    rng = np.random.default_rng(3)
-    n, lam, rho = 1500, 0.4, 0.3
-    xy = rng.uniform(size=(n, 2))
-    d = ((xy[:, None] - xy[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    j = np.argsort(d, 1)[:, :8].ravel()
-    w = spreg.Links(np.repeat(np.arange(n), 8), j, np.full(n * 8, 1 / 8), n)
-    dense = np.zeros((n, n))
-    dense[w.i, w.j] = w.w
-    x = np.column_stack([np.ones(n), rng.normal(size=n)])
-    u = np.linalg.solve(np.eye(n) - rho * dense, rng.normal(size=n) * (0.5 + xy[:, 0]))
-    y = np.linalg.solve(np.eye(n) - lam * dense, x @ [1.0, 2.0] + u)
-    f = spreg.fit_model(y, x, w)
-    assert f["beta"][1] == pytest.approx(2, abs=0.1) and f["lam"] == pytest.approx(lam, abs=0.1) and f["rho"] == pytest.approx(rho, abs=0.15)
-    assert abs(f["beta"][1] - 2) < 4 * f["se"][1]
-    assert math.isnan(spreg.fit_model(y, x, w, "sar")["rho"]) and math.isnan(spreg.fit_model(y, x, w, "ols")["lam"])
-
-
 def test_choice_rule(spark):
     rows = []
     for k, (b1, p1, b2, p2, rho) in {1: (1, 0.01, 1, 0.5, 0.1), 2: (1, 0.01, -1, 0.5, 0.1), 3: (1, 0.01, -1, 0.01, 0.1), 4: (1, 0.01, 1, 0.01, 0.9), 5: (1, 0.01, 1, 0.01, 0.1)}.items():
