@@ -13,7 +13,7 @@ from .fm_index import FMIndex
 from .suffix_dedup import Rule, _occurrences, spans_of, units
 
 #: 50 words are a passage; the least hash of its 20-word substrings says which shard it belongs to.
-PASSAGES = Rule(length=50, words=True, gram=20, cell=1, many=1024)
+PASSAGES = Rule(length=50, words=True, gram=20, cell=1, many=256)
 #: Words of an index.
 INDEX_WORDS = 1 << 18
 
@@ -188,8 +188,11 @@ def earlier_passages(base: DataFrame, scratch: Scratch, rule: Rule = PASSAGES) -
     every = scratch.cut(_occurrences(base, rule), "every")
     ends = scratch.cut(_ends(every, ["dk", "th", "at", "n", "off"]), "ends")
     wanted = scratch.cut(_shared(ends, scratch, "per", "dk"), "wanted")
+    scratch.drop("ends", "per")
     places = scratch.cut(_words_of(base, wanted, rule), "places")
+    scratch.drop("wanted")
     answers = scratch.cut(_all_answers(places, scratch, rule, rule.width), "answers")
+    scratch.keep("every", "answers")
     earlier = F.transform(F.filter("runs", lambda r: r["id"] < F.col("dk")), lambda r: F.struct(r["lo"], r["hi"]))
     hits = every.select("dk", "th", "at", *_KEY).join(answers, _KEY).select("dk", "th", F.struct("at", earlier.alias("runs")).alias("hit")).where("size(hit.runs) > 0")
     found = scratch.cut(hits.groupBy("dk", "th").agg(F.collect_set("hit").alias("found")), "found")
