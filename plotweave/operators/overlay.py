@@ -152,8 +152,15 @@ def buffered(polygons: DataFrame, width: float, quarter: int = 8) -> DataFrame:
     return boundary(faces(plain.unionByName(rim)), difference_label("own", "rim"))
 
 
+def filled(bound: DataFrame) -> DataFrame:
+    """The boundary of what ``bound`` (one label) and its holes cover; parts that lie in holes go with them."""
+    known = settled(rings(bound))
+    if not known.where("area < 0").take(1):
+        return bound
+    outer = known.where("area > 0").groupBy("ring").agg(F.collect_list(F.struct(*_ENDS)).alias("edges"))
+    return boundary(faces(outer.select(F.lit("own").alias("layer"), F.xxhash64("ring").cast("string").alias("poly"), "edges")), union_label("own"))
+
+
 def footprint(polygons: DataFrame, width: float, quarter: int = 8) -> DataFrame:
     """The boundary of ``polygons`` widened, dissolved and with all holes filled."""
-    outer = rings(buffered(polygons, width, quarter)).where("area > 0")
-    filled = outer.groupBy("ring").agg(F.collect_list(F.struct(*_ENDS)).alias("edges")).select(F.lit("own").alias("layer"), F.xxhash64("ring").cast("string").alias("poly"), "edges")
-    return boundary(faces(filled), union_label("own"))
+    return filled(buffered(polygons, width, quarter))

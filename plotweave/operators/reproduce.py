@@ -127,8 +127,3 @@ def require_no_drift(config: Mapping, copies: Mapping[str, Mapping], known: Sequ
                 raise ValueError(f"config drift: {k} = {config[k]!r} but {name}.{k} = {own[k]!r}")
     if absent := [n for n in known if n not in copies]:
         raise KeyError(f"unknown variants: {absent}")
-
-
-def plugin_column(name: Column, tags: Sequence[str]) -> Column:
-    """Whether a name is one that the centrality plugin's recipe gives: T or G, then g or a radius of one to five digits, a metric's tag of three letters, and a digit."""
-    return name.rlike(rf"^[TG](g|[0-9]{{1,5}})({'|'.join(tags)})[0-9]$")

@@ -1,8 +1,9 @@
 """The tables that the queries run on, in the roles the operators expect, and the same as SQL.
 
-Keys are customers. Transactions are finished orders, of which those of the lowest priority are main sales and the others
-count as parking; units are order lines of large quantity, parent rows are first lines, parking is a returned line. The
-layer is the customers, with balance for area and market segment for type. Points have whole-number coordinates.
+Keys are customers. Transactions are finished orders (a sale that isn't closed has no price), of which those of the lowest
+priority are main sales and the others count as parking; units are all order lines, parent rows are first lines, parking is
+a returned line. The layer is the customers, with balance for area and market segment for type. Points have whole-number
+coordinates.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ TX = "tx AS (SELECT o_orderkey AS tx_id, o_custkey AS addr_key, o_totalprice AS
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 40")
-    orders = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr("o_custkey AS addr_key", "l_returnflag AS purpose", "l_returnflag = 'R' AS parking", "l_linenumber = 1 AS parent", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 
-UN = "un AS (SELECT o_custkey AS addr_key, l_returnflag AS purpose, l_returnflag = 'R' AS parking, l_linenumber = 1 AS parent, l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 40 AND o_orderstatus = 'F')"
+UN = "un AS (SELECT o_custkey AS addr_key, l_returnflag AS purpose, l_returnflag = 'R' AS parking, l_linenumber = 1 AS parent, l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def layer(spark: SparkSession, sf_dir: str) -> DataFrame:

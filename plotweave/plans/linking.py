@@ -15,9 +15,9 @@ def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.match_rate(inputs.transactions(spark, sf_dir), inputs.units(spark, sf_dir), "addr_key")
 
 
-@query(f"WITH {UN}, {GEO} SELECT addr_key, area, type FROM geo WHERE addr_key NOT IN (SELECT addr_key FROM un)")
+@query(f"WITH {TX}, {GEO} SELECT addr_key, area, type FROM geo WHERE addr_key NOT IN (SELECT addr_key FROM tx)")
 def join_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.failures(inputs.layer(spark, sf_dir).select("addr_key", "area", "type"), inputs.units(spark, sf_dir), "addr_key")
+    return link.failures(inputs.layer(spark, sf_dir).select("addr_key", "area", "type"), inputs.transactions(spark, sf_dir), "addr_key")
 
 
 _MASKED = "CASE WHEN n_nationkey % 5 = 0 THEN n_name ELSE concat(left(n_name, n_nationkey % 4), '?', substr(n_name, n_nationkey % 4 + 2)) END"
@@ -50,9 +50,10 @@ def fuzzy_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.fuzzy_nearest(q, inputs.read(spark, sf_dir, "nation"), "q", "n_name")
 
 
-@query(f"WITH {TX}, {UN}, a AS (SELECT addr_key, any_value(tx_id) AS tx_id FROM tx GROUP BY 1 HAVING count(*) = 1), b AS (SELECT addr_key, any_value(l_orderkey) AS unit_order FROM un GROUP BY 1 HAVING count(*) = 1) SELECT a.addr_key, tx_id, unit_order FROM a JOIN b ON a.addr_key = b.addr_key")
+@query(f"WITH {TX}, {UN}, b AS (SELECT l_orderkey AS tx_id, any_value(l_linenumber) AS line FROM un GROUP BY 1 HAVING count(*) = 1) SELECT tx.tx_id, addr_key, line FROM tx JOIN b ON b.tx_id = tx.tx_id")
 def unique_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.unambiguous_join(inputs.transactions(spark, sf_dir).select("addr_key", "tx_id"), inputs.units(spark, sf_dir).select("addr_key", F.col("l_orderkey").alias("unit_order")), "addr_key")
+    """Transactions and their units where both have one row: transactions of a single order line."""
+    return link.unambiguous_join(inputs.transactions(spark, sf_dir).select("tx_id", "addr_key"), inputs.units(spark, sf_dir).select(F.col("l_orderkey").alias("tx_id"), F.col("l_linenumber").alias("line")), "tx_id")
 
 
 @query(f"WITH {GEO}, {inputs.ME} SELECT geo.addr_key, area, pc2 FROM geo JOIN me ON me.addr_key = geo.addr_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import convex, overlay, polygons as pg, variants, voronoi
+from ..operators.lineage import settled
 from . import inputs
 from .areas import ED, plots
 from .inputs import PT
@@ -78,16 +79,22 @@ def plots_union_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within.join(pg.points_in_polygons(points, slim).select("id").distinct(), "id", "left_anti").select("id")
 
 
+def _shape(name: str, bound: DataFrame) -> DataFrame:
+    one = overlay.rings(bound).select("ring", "area").distinct()
+    return one.agg(F.lit(name).alias("shape"), F.round(F.coalesce(F.sum("area"), F.lit(0.0)), 1).alias("area"), F.count_if(F.col("area") > 0).alias("parts"), F.count_if(F.col("area") < 0).alias("holes"))
+
+
 @query()
 def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plots widened by 60 and dissolved, with and without holes, and the dissolved plots narrowed by 40: area, rings and holes."""
-    own = plots(spark, sf_dir)
-    out = None
-    for name, bound in (("widened", overlay.buffered(own, 60.0)), ("filled", overlay.footprint(own, 60.0)), ("narrowed", overlay.buffered(own, -40.0))):
-        r = overlay.rings(bound)
-        one = r.select("ring", "area").distinct().agg(F.lit(name).alias("shape"), F.round(F.sum("area"), 1).alias("area"), F.count_if(F.col("area") > 0).alias("parts"), F.count_if(F.col("area") < 0).alias("holes"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The plots widened by 60 and dissolved, with their holes and without: area, parts and holes."""
+    widened = settled(overlay.buffered(plots(spark, sf_dir), 60.0, 2))
+    return _shape("widened", widened).unionByName(_shape("filled", overlay.filled(widened)))
+
+
+@query()
+def inward_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dissolved plots narrowed by 40: area, parts and holes."""
+    return _shape("narrowed", overlay.buffered(plots(spark, sf_dir), -40.0, 2))
 
 
 #: Fixed values of this query: width of a lane's surface by class.
