@@ -190,10 +190,12 @@ def coverage_restriction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("cell", "n", "n_variant", F.when(F.col("n") == F.col("n_variant"), F.col("m")).alias("scored"))
 
 
-@query(f"WITH {sql_cells()}, u AS (SELECT cell, r, c, cx, cy, unnest(range(0, 6)) AS k FROM cells WHERE cx BETWEEN 0 AND {EXTENT} AND cy BETWEEN 0 AND {EXTENT}) SELECT cell, k, round(cx + {grid().radius!r}::DOUBLE * cos(k * pi() / 3), 6) + 0.0 AS x, round(cy + {grid().radius!r}::DOUBLE * sin(k * pi() / 3), 6) + 0.0 AS y FROM u")
+@query(f"WITH {PT}, {sql_assign()}, u AS (SELECT cell, cx, cy, unnest(range(0, 6)) AS k FROM cells WHERE cell IN (SELECT cell FROM a)) SELECT cell, k, round(cx + {grid().radius!r}::DOUBLE * cos(k * pi() / 3), 6) + 0.0 AS x, round(cy + {grid().radius!r}::DOUBLE * sin(k * pi() / 3), 6) + 0.0 AS y FROM u")
 def hex_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grid()
-    cells = g.cells(spark, EXTENT, EXTENT).select("cell", F.posexplode(g.vertices(F.col("row_index"), F.col("col_index"))).alias("k", "v"))
-    return cells.select("cell", F.col("k").cast("long").alias("k"), (F.round("v.x", 6) + 0.0).alias("x"), (F.round("v.y", 6) + 0.0).alias("y"))
+    """The corners of every cell that holds a customer."""
+    g, part = grid(), lambda k: F.split("cell", "_")[k].cast("int")
+    held = lt.assign(inputs.points(spark, sf_dir), g).where("cell IS NOT NULL").select("cell").distinct()
+    corners = held.select("cell", F.posexplode(g.vertices(part(0), part(1))).alias("k", "v"))
+    return corners.select("cell", F.col("k").cast("long").alias("k"), (F.round("v.x", 6) + 0.0).alias("x"), (F.round("v.y", 6) + 0.0).alias("y"))
 
 

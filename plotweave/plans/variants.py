@@ -114,10 +114,13 @@ def standardised_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.agg(F.round(F.regr_slope("v", "z"), 6).alias("refit"), F.round(F.regr_slope("v", "x1") * F.stddev_samp("x1"), 6).alias("analytic"))
 
 
-@query("SELECT m, w, k, concat(m, '/', w, '/', CAST(k AS VARCHAR)) AS job FROM (SELECT unnest(['pc1', 'pc2', 'cc', 'bc', 'fk']) AS m), (SELECT unnest(['knn', 'band']) AS w), (SELECT unnest(range(4, 13, 4)) AS k)")
+@query("SELECT type, n, m, w, k, concat(type, '/', m, '/', w, '/', CAST(k AS VARCHAR)) AS job FROM (SELECT c_mktsegment AS type, count(*) AS n FROM customer GROUP BY 1), (SELECT unnest(['pc1', 'pc2', 'cc', 'bc', 'fk']) AS m), (SELECT unnest(['knn', 'band']) AS w), (SELECT unnest(range(4, 13, 4)) AS k)")
 def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.createDataFrame([(m,) for m in inputs.MEASURES], "m string").crossJoin(spark.createDataFrame([("knn",), ("band",)], "w string")).crossJoin(spark.range(4, 13, 4).withColumnRenamed("id", "k"))
-    return g.withColumn("job", F.concat_ws("/", "m", "w", F.col("k").cast("string")))
+    """A job for each type in the layer, measure, kind of weights and number of neighbours, with the rows that it will have."""
+    out = inputs.layer(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"))
+    for name, values in (("m", inputs.MEASURES), ("w", ("knn", "band")), ("k", (4, 8, 12))):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.withColumn("k", F.col("k").cast("long")).withColumn("job", F.concat_ws("/", "type", "m", "w", F.col("k").cast("string")))
 
 
 @query()
