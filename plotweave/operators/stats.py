@@ -55,19 +55,39 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame
     return both.agg(F.array(*row).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+#: Counts of the sketch that brackets a quantile: its rank is off by one in so many rows at most.
+ACCURACY = 10_000
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """m (a column's name), share, value: exact quantiles with linear interpolation; a column without values has no row.
 
-    Each distinct value knows how many rows come before it, so the one or two values around a rank are picked by a filter.
+    A sketch of each column (one pass; a few numbers to the driver) gives for each share a bracket that surely holds it. A
+    second pass counts what lies before the bracket and keeps the distinct values inside, some four rows in 10,000, with
+    the last value before and the first behind: the values at the two ranks around the share are among them.
     """
-    place = _placed(_values(df, cols))
-    ends = place.groupBy("m").agg(F.sum("n").alias("all")).select("m", F.explode(F.array(*map(F.lit, map(float, shares)))).alias("share"), "all")
-    ends = ends.withColumn("at", F.col("share") * (F.col("all") - 1)).withColumns({"lo": F.floor("at"), "hi": F.ceil("at")})
-    holds = lambda k: (F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("n"))
-    near = place.join(ends, "m").where(holds("lo") | holds("hi"))
-    low, high = F.max(F.when(holds("lo"), F.col("v"))), F.max(F.when(holds("hi"), F.col("v")))
-    per = near.groupBy("m", "share").agg(low.alias("l"), high.alias("h"), F.max("at").alias("at"))
-    return per.select("m", "share", F.when(F.col("l") == F.col("h"), F.col("l")).otherwise((F.ceil("at") - F.col("at")) * F.col("l") + (F.col("at") - F.floor("at")) * F.col("h")).alias("value"))
+    values, shares = _values(df, cols), sorted(set(map(float, shares)))
+    off = 2 / ACCURACY
+    ask = F.array(*(F.lit(min(max(p + d, 0.0), 1.0)) for p in shares for d in (-off, off)))
+    rough = values.groupBy("m").agg(F.percentile_approx("v", ask, ACCURACY).alias("q")).collect()
+    spark, none = df.sparkSession, "m string, share double, value double"
+    if not rough:
+        return spark.createDataFrame([], none)
+    brackets = spark.createDataFrame([(r["m"], [(p, r["q"][2 * i], r["q"][2 * i + 1]) for i, p in enumerate(shares)]) for r in rough], "m string, b array<struct<share:double,low:double,high:double>>")
+    each = values.join(F.broadcast(brackets), "m").select("m", "v", F.inline("b")).withColumn("part", F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0))
+    counts = each.groupBy("m", "share", "part", F.when(F.col("part") == 0, F.col("v")).alias("own")).agg(F.count("*").alias("n"), F.max("v").alias("last"), F.min("v").alias("first"))
+    order = Window.partitionBy("m", "share").orderBy("part", "own").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("m", "share"))})
+    placed = placed.withColumn("at", F.col("share") * (F.col("all") - 1))
+
+    def value_at(k: Column) -> Column:
+        held = (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
+        known = F.when(F.col("part") == 0, F.col("own")).when((F.col("part") < 0) & (k == F.col("before") + F.col("n") - 1), F.col("last")).when((F.col("part") > 0) & (k == F.col("before")), F.col("first"))
+        return F.max(F.when(held, known))
+
+    per = placed.groupBy("m", "share").agg(value_at(F.floor("at")).alias("l"), value_at(F.ceil("at")).alias("h"), F.max("at").alias("at"))
+    sure = F.when(F.col("l").isNull() | F.col("h").isNull(), F.raise_error(F.lit("a quantile lies outside of its bracket")).cast("double"))
+    return per.select("m", "share", sure.when(F.col("l") == F.col("h"), F.col("l")).otherwise((F.ceil("at") - F.col("at")) * F.col("l") + (F.col("at") - F.floor("at")) * F.col("h")).alias("value"))
 
 
 def descriptives(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -341,3 +341,13 @@ def test_settings_that_drift_apart():
 def test_report(spark):
     df = spark.createDataFrame([("a|b", 2.0)], "k string, v double")
     assert sinks.report("T", [("Text", "words"), ("Table", df)]) == "# T\n\n## Text\n\nwords\n\n## Table\n\n| k | v |\n|---|---|\n| a\\|b | 2 |\n"
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 20_000])
+def test_quantiles_beside_sorting(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(float(rng.choice([rng.normal(), 3.0, rng.integers(0, 5)])), None if rng.random() < 0.3 else float(rng.exponential())) for _ in range(n)]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.m, r.share): r.value for r in stats.quantiles(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], shares).collect()}
+    want = {(c, p): np.quantile(v, p) for i, c in enumerate("ab") if (v := [r[i] for r in rows if r[i] is not None]) for p in shares}
+    assert got == pytest.approx(want, abs=1e-12)
