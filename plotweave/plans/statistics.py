@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import tests
-from ..operators import lattice as lt, spreg, stats, weights
+from ..operators import crossval, lattice as lt, spreg, stats, weights
 from . import inputs
 from .inputs import ME, PT
 from .register import query
@@ -186,13 +186,35 @@ def selected_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spreg.fit_jobs(_measure_rows(d), _weights(d), "v", ["m"], "selected")
 
 
-@query()
-def kmeans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spatial blocks for cross-validation: k-means on coordinates, seeded."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+_FOLD = "CAST(id % 10 AS STRING) AS fold"
+
+
+@query(f"{BASE}, f AS (SELECT DISTINCT id % 10 AS fold FROM sample), p AS (SELECT fold, p.id AS i, q.id AS j, row_number() OVER (PARTITION BY fold, p.id ORDER BY (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), q.id) AS nth FROM f, sample p, sample q WHERE p.id <> q.id AND p.id % 10 <> fold AND q.id % 10 <> fold) SELECT CAST(fold AS VARCHAR) AS fold, i, j FROM p WHERE nth <= {K}")
+def cv_training_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every training set by themselves."""
+    return crossval.training_links(sample(spark, sf_dir).selectExpr("id", "x", "y", _FOLD), K).select("fold", "i", "j")
+
+
+_SPECS = {"x1": ["x1"], "x2": ["x2"]}
+_TREND = "SELECT '{m}' AS spec, count(*) AS n_folds, CAST(sum(n) AS BIGINT) AS n_pred, round(sqrt(sum(ols) / sum(n)), 6) AS rmse_ols, round(sqrt(sum(trend) / sum(n)), 6) AS rmse_trend, round(sqrt(sum(trend) / sum(n)), 6) AS rmse_recal, round(sqrt(sum(mean) / sum(n)), 6) AS rmse_mean FROM e_{m}"
 
-    p = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(inputs.points(spark, sf_dir))
-    return KMeans(k=10, seed=42, maxIter=25).fit(p).transform(p).groupBy(F.col("prediction").alias("block")).agg(F.count("*").alias("n"))
 
+@query(f"{BASE}, " + ", ".join(f"p_{m} AS (SELECT k, avg(v) AS m, regr_slope(v, {m}) AS s, regr_intercept(v, {m}) AS a FROM (SELECT DISTINCT id % 10 AS k FROM sample) f JOIN sample ON id % 10 <> k GROUP BY k), e_{m} AS (SELECT k, count(*) AS n, sum((v - a - s * {m}) * (v - a - s * {m})) AS ols, sum((v - a - s * {m}) * (v - a - s * {m})) AS trend, sum((v - m) * (v - m)) AS mean FROM sample JOIN p_{m} ON k = id % 10 GROUP BY k)" for m in _SPECS) + " " + " UNION ALL ".join(_TREND.format(m=m) for m in _SPECS))
+def cv_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds of ``cv_training_links`` with models without space, whose trend is least squares."""
+    found = crossval.cross_validate(sample(spark, sf_dir).selectExpr("id", "x", "y", "v", "x1", "x2", _FOLD), "v", _SPECS, K, "ols")
+    out = crossval.scores(found).drop("mean_lambda")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("rmse")})
 
+
+@query()
+def cv_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lag and error models on ten spatial blocks, with the weights of each training set."""
+    d = crossval.spatial_blocks(sample(spark, sf_dir).select("id", "x", "y", "v", "x1", "x2"))
+    return crossval.scores(crossval.cross_validate(d, "v", _SPECS, K))
+
+
+@query()
+def kmeans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spatial blocks for cross-validation: the best k-means of 25 starts."""
+    return crossval.spatial_blocks(inputs.points(spark, sf_dir)).groupBy(F.col("fold").cast("int").alias("block")).agg(F.count("*").alias("n"))
