@@ -62,9 +62,8 @@ def test_predictions(spark):
     """Each fold fitted with dense matrices on its training rows alone."""
     rng = np.random.default_rng(5)
     xy, n, k = rng.uniform(0, 100, (150, 2)), 150, 5
-    a = rng.normal(size=n)
-    b = a + rng.normal(size=n) * 0.4  # a regressor that explains little leaves rho at its bound, which the dense search doesn't have
-    y = 1 + 2 * a + 0.5 * np.sin(xy[:, 0] / 15) + rng.normal(size=n)
+    a, b = rng.normal(size=n), rng.normal(size=n) + xy[:, 0] / 50  # b explains little: in one fold rho starts at its bound
+    y = 1 + 2 * a + 0.5 * b + 0.5 * np.sin(xy[:, 0] / 15) + rng.normal(size=n)
     fold = np.array([str(int(p[0] // 34)) for p in xy])
     rows = [(i, *map(float, xy[i]), float(y[i]), float(a[i]), float(b[i]), fold[i]) for i in range(n)] + [(500, 1.0, 1.0, None, 1.0, 1.0, "0"), (501, 1.0, 1.0, 1.0, float("nan"), 1.0, "0")]
     df = spark.createDataFrame(rows, "id long, x double, y double, v double, a double, b double, fold string")

@@ -50,8 +50,8 @@ def dense(w, x, y, model):
         best = grid[np.argmin([loss(r) for r in grid])]
         step = 5e-3
         while step > 1e-9:
-            best = min((best - step, best, best + step), key=loss)
-            step *= 0.5 if best == min((best - step, best, best + step), key=loss) else 1
+            best = min((max(best - step, -spreg.BOUND), best, min(best + step, spreg.BOUND)), key=loss)
+            step *= 0.5 if best == min((max(best - step, -spreg.BOUND), best, min(best + step, spreg.BOUND)), key=loss) else 1
         return best
 
     def covariances(b, rho):
