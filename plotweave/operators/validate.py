@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import rel_diff, verdict, within_gate
+from .segments import along
 
 
 def match_shares(cand: Column, ref: Column, exact: float, within: float) -> list[Column]:
@@ -107,6 +109,79 @@ def thin_points(points: DataFrame) -> DataFrame:
     return points.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+#: Segments that meet a tile of ``thinned_samples``, on the average.
+TILE_SEGMENTS = 20_000
+
+
+def _first_in_squares(step: float, inset: float, tile: int):
+    """Rows (id, x1, y1, x2, y2, length, bx, by) sorted by tile and id: the points of ``sample_points`` that lie in the tile and in a square metre that had none."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        now, taken = None, None
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2", "length", "bx", "by")}
+            length, dx, dy = cols["length"], cols["x2"] - cols["x1"], cols["y2"] - cols["y1"]
+            n = np.floor((length - 2 * inset) / step)
+            many = np.where(length > 2 * inset, 2 + np.maximum(n - 1, 0), 1).astype(np.int64)
+            # the part of the segment that runs in the tile, with a margin of a metre
+            low, high = np.zeros(len(length)), length.copy()
+            for a, d, b in ((cols["x1"], dx, cols["bx"]), (cols["y1"], dy, cols["by"])):
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    u, v = ((b * tile - 2 - a) / d * length, ((b + 1) * tile + 2 - a) / d * length)
+                moves = np.abs(d) > 1e-9 * length
+                low = np.where(moves, np.maximum(low, np.minimum(u, v)), low)
+                high = np.where(moves, np.minimum(high, np.maximum(u, v)), high)
+            begin = np.clip(np.floor((low - inset) / step) - 1, 0, many - 1).astype(np.int64)
+            end = np.clip(np.ceil((high - inset) / step) + 2, 0, many).astype(np.int64)
+            end = np.where(high >= length - inset - step, many, end)  # the last point stands closer
+            some = np.maximum(end - begin, 0)
+            row = np.repeat(np.arange(len(length)), some)
+            enum = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some) + begin[row]
+            at = np.where(enum == 0, inset, np.where(enum == many[row] - 1, length[row] - inset, inset + enum * step))
+            at = np.where(many[row] == 1, length[row] / 2, at)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = np.where(length[row] == 0, 0.0, at / length[row])
+            x, y = cols["x1"][row] + t * dx[row], cols["y1"][row] + t * dy[row]
+            cx, cy = np.rint(x) - cols["bx"][row] * tile, np.rint(y) - cols["by"][row] * tile
+            there = np.flatnonzero((cx >= 0) & (cx < tile) & (cy >= 0) & (cy < tile))
+            cell = (cx[there] * tile + cy[there]).astype(np.int64)
+            bx, by = cols["bx"][row[there]], cols["by"][row[there]]
+            starts = np.flatnonzero(np.r_[True, (np.diff(bx) != 0) | (np.diff(by) != 0)]) if len(there) else np.empty(0, np.int64)
+            kept = []
+            for a, b in zip(starts, np.r_[starts[1:], len(there)]):
+                if (bx[a], by[a]) != now:
+                    now, taken = (bx[a], by[a]), np.zeros(tile * tile, bool)
+                first = a + np.unique(cell[a:b], return_index=True)[1]
+                first = np.sort(first[~taken[cell[first]]])
+                taken[cell[first]] = True
+                kept.append(there[first])
+            if kept:
+                k = np.concatenate(kept)
+                yield pa.record_batch([batch.column("id").take(pa.array(row[k])), pa.array(enum[k].astype(np.int32)), pa.array(x[k]), pa.array(y[k])], ["id", "enum", "x", "y"])
+
+    return run
+
+
+def thinned_samples(seg: DataFrame, step: float = 5.0, inset: float = 1.0) -> DataFrame:
+    """What ``thin_points(sample_points(seg))`` gives, with segments shuffled and not their points.
+
+    Segments go to the tiles that they come near, a tile's arrive in order of their id, and each point is made in the tile
+    that holds its square metre: it stays if that is free. A task holds one bit field of a tile, however many segments meet
+    there. Segments without coordinates have no points.
+    """
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    known = seg.select(F.col("id").alias("seg"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).where("x1 + x2 + y1 + y2 IS NOT NULL")
+    n, mean, x0, x1, y0, y1 = known.agg(F.count("*"), F.avg(length), F.min("x1"), F.max("x1"), F.min("y1"), F.max("y1")).first()
+    area = max((x1 or 0) - (x0 or 0), 1.0) * max((y1 or 0) - (y0 or 0), 1.0)
+    tile = int(min(max(math.sqrt(area * TILE_SEGMENTS / max(n, 1)), (mean or 0.0) / 2, 32.0), 2048.0))
+    parts = 4 * max(seg.sparkSession.sparkContext.defaultParallelism, int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    filed = along(known, float(tile), 1.0).select(F.col("r_id").alias("id"), "x1", "y1", "x2", "y2", length.alias("length"), "bx", "by")
+    dealt = filed.repartition(parts, "bx", "by").sortWithinPartitions("bx", "by", "id")
+    return dealt.mapInArrow(_first_in_squares(float(step), float(inset), tile), f"id {seg.schema['id'].dataType.simpleString()}, enum int, x double, y double")
+
+
 def jitter(df: DataFrame, x: str, y: str, key: str, radius: float = 0.5) -> DataFrame:
     """Moves rows that share coordinates with another into a disc around them, by hashes of the key, so that a rerun gives the same places."""
     u = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))

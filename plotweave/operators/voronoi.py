@@ -73,7 +73,7 @@ def owned_areas(seg: DataFrame, bounds: tuple[float, float, float, float], width
     Points are set each ``step`` along the segments and thinned, the first of a square metre staying; areas below ``least``
     are 0, as are those of segments that have lost all their points.
     """
-    points = validate.thin_points(validate.sample_points(seg.withColumnRenamed("seg", "id"), step))
+    points = validate.thinned_samples(seg.withColumnRenamed("seg", "id"), step)
     points = settled(points.select(F.struct("id", "enum").alias("id"), F.col("id").alias("seg"), "x", "y"))
     parts = settled(owned_parts(seg, points, bounds, width, quarter))
     if roads is None:

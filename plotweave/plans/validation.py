@@ -106,7 +106,7 @@ def sample_point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def thinned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order decides which of two close points stays; counted in both directions by the tests."""
-    p = validate.thin_points(validate.sample_points(inputs.segments(spark, sf_dir).withColumnRenamed("seg", "id")))
+    p = validate.thinned_samples(inputs.segments(spark, sf_dir).withColumnRenamed("seg", "id"))
     return p.groupBy("id").agg(F.count("*").alias("n"))
 
 
