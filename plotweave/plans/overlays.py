@@ -53,7 +53,7 @@ _SUM = "sum((nx - x) * greatest(0, y1 - greatest(y0, coalesce(m, y0))))"
 @query(f"WITH {_BLOCKS}, u AS ({_RUNS.format(rows='sl')}), ua AS ({_RUNS.format(rows='(SELECT * FROM sl WHERE odd = 0)')}), ub AS ({_RUNS.format(rows='(SELECT * FROM sl WHERE odd = 1)')}), t AS (SELECT (SELECT {_SUM} FROM u) AS total, (SELECT {_SUM} FROM ua) AS a, (SELECT {_SUM} FROM ub) AS b) SELECT round(total, 3) AS area_union, round(a + b - total, 3) AS area_both, round(total - b, 3) AS area_only_a, round(total - a, 3) AS area_only_b FROM t")
 def block_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union, intersection and both differences of two layers of overlapping blocks, from one arrangement of their edges; the SQL sweeps strips."""
-    found = overlay.faces(_blocks(spark, sf_dir))
+    found = overlay.regions(_blocks(spark, sf_dir), ("a", "b"))
     labels = {"area_union": overlay.union_label("a", "b"), "area_both": overlay.intersection_label("a", "b"), "area_only_a": overlay.difference_label("a", "b"), "area_only_b": overlay.difference_label("b", "a")}
     # a piece counts for every overlay in which its sides differ, to the left or to the right
     turn = (F.col("x1") - F.col("x2")) * (F.col("y1") + F.col("y2")) / 2
@@ -69,14 +69,10 @@ _CROSS = "count(*) FILTER ((py > y) <> (qy > y) AND x < px + (qx - px) * (y - py
 def plots_union_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in the dissolved plots, by the rings of the dissolved boundary alone, but for those within a thousandth of any plot's edge."""
     own = plots(spark, sf_dir)
-    bound = overlay.boundary(overlay.faces(own.select(F.lit("own").alias("layer"), F.col("poly").cast("string").alias("poly"), "edges")), overlay.union_label("own"))
-    ringed = overlay.rings(bound).groupBy(F.col("ring").alias("poly"), (F.col("area") > 0).alias("outer")).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    bound = overlay.joined(overlay.regions(own.select(F.lit("own").alias("layer"), F.col("poly").cast("string").alias("poly"), "edges"), ("own",)), overlay.union_label("own"))
     points = inputs.points(spark, sf_dir)
-    met = pg.points_in_polygons(points, ringed.select(F.struct("poly", "outer").alias("poly"), "edges"))
-    within = met.groupBy("id").agg(F.sum(F.when(F.col("poly.outer"), 1).otherwise(-1)).alias("depth")).where("depth > 0")
-    # edges are widened to slim boxes, which hold the customers to leave out
-    slim = overlay.capsules(overlay.sides_of(own), F.concat_ws(":", "poly", "k"), 0.001, "rim", 2)
-    return within.join(pg.points_in_polygons(points, slim).select("id").distinct(), "id", "left_anti").select("id")
+    within = overlay.depths(points, settled(overlay.rings(bound))).where("depth > 0")
+    return within.join(overlay.near_sides(points, overlay.sides_of(own), 0.001), "id", "left_anti").select("id")
 
 
 def _shape(name: str, bound: DataFrame) -> DataFrame:
