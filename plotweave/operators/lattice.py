@@ -60,9 +60,11 @@ def assign(df: DataFrame, lattice: Lattice, x: str = "x", y: str = "y", out: str
         for j in (0, 1):
             row = v + j
             dx, dy = F.col(x) - lattice.centre_x(col), F.col(y) - lattice.centre_y(row, col)
-            near.append(F.struct((dx * dx + dy * dy).alias("d"), cell_id(row, col).alias("cell")))
-    best = df.withColumn("_near", F.array_sort(F.array(*near)))
-    return best.withColumn(out, F.when(F.col("_near")[0]["d"] < F.col("_near")[1]["d"], F.col("_near")[0]["cell"])).drop("_near")
+            near.append((dx * dx + dy * dy, row, col))
+    least = F.least(*(d for d, _, _ in near))
+    alone = sum((d == least).cast("int") for d, _, _ in near) == 1
+    pick = lambda n: F.coalesce(*(F.when(c[0] == least, c[n]) for c in near))
+    return df.withColumn(out, F.when(alone, cell_id(pick(1), pick(2))))
 
 
 # The directions of the three pairs of edges.
