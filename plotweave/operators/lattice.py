@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -71,33 +72,57 @@ def assign(df: DataFrame, lattice: Lattice, x: str = "x", y: str = "y", out: str
 NORMALS = tuple((math.cos(math.radians(a)), math.sin(math.radians(a))) for a in (90, 30, 150))
 
 
+def _cut_batches(ox: float, oy: float, s: float, step: float, r: float, normals: Sequence[tuple[float, float]], ends: Sequence[str], names: Sequence[str]):
+    """The rows of a batch for each cell that a segment meets, with row and column of the cell and the length inside."""
+    import numpy as np
+    import pyarrow as pa
+
+    def spread(first, last):
+        n = np.maximum(last - first + 1, 0).astype(np.int64)
+        at = np.repeat(np.arange(len(n)), n)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + first[at]
+
+    def run(batches):
+        margin = s * 1e-9
+        for batch in batches:
+            x1, y1, x2, y2 = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ends)
+            known = np.flatnonzero(np.isfinite(x1 + y1 + x2 + y2))
+            x1, y1, x2, y2 = x1[known], y1[known], x2[known], y2[known]
+            at, col = spread(np.ceil((np.minimum(x1, x2) - (r + margin) - ox) / step), np.floor((np.maximum(x1, x2) + (r + margin) - ox) / step))
+            known, x1, y1, x2, y2 = known[at], x1[at], y1[at], x2[at], y2[at]
+            low, high, wide = np.minimum(x1, x2), np.maximum(x1, x2), np.where(x1 == x2, 1.0, x2 - x1)
+            enters, leaves = (np.where(x1 == x2, y, y1 + (np.minimum(np.maximum(ox + col * step + side, low), high) - x1) / wide * (y2 - y1)) for side, y in ((-r - margin, y1), (r + margin, y2)))
+            middle = oy - col % 2 * (s / 2)
+            at, row = spread(np.ceil((middle - np.maximum(enters, leaves) - (s / 2 + margin)) / s), np.floor((middle - np.minimum(enters, leaves) + (s / 2 + margin)) / s))
+            known, col, x1, y1, x2, y2 = known[at], col[at], x1[at], y1[at], x2[at], y2[at]
+            cx, cy = ox + col * step, oy - row * s - col % 2 * (s / 2)
+            enter, leave, inside = np.zeros(len(at)), np.ones(len(at)), np.ones(len(at), bool)
+            for nx, ny in normals:
+                a, by = (x1 - cx) * nx + (y1 - cy) * ny, (x2 - x1) * nx + (y2 - y1) * ny
+                runs = by != 0
+                over = np.where(runs, by, 1.0)
+                u, v = (-s / 2 - a) / over, (s / 2 - a) / over
+                enter, leave = np.where(runs, np.maximum(enter, np.minimum(u, v)), enter), np.where(runs, np.minimum(leave, np.maximum(u, v)), leave)
+                inside &= runs | (np.abs(a) <= s / 2)
+            k = np.flatnonzero(inside & (enter <= leave))
+            part = (leave[k] - enter[k]) * np.hypot(x2[k] - x1[k], y2[k] - y1[k])
+            rows = pa.array(known[k])
+            yield pa.record_batch([*(batch.column(c).take(rows) for c in names), pa.array(row[k].astype(np.int64)), pa.array(col[k].astype(np.int64)), pa.array(part)], [*names, "_r", "_c", "part"])
+
+    return run
+
+
 def cut_by_cells(df: DataFrame, lattice: Lattice, ends: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """One row per segment and cell that it meets, with ``cell`` and ``part``, the length inside.
 
     Columns within reach of the segment are walked, and in each the rows within reach of the part of the segment that runs
     there, so candidates grow with the length and not with the box. A cell is the meet of three bands, and clipping the
-    segment's parameter by each (Liang and Barsky) leaves an interval that is empty exactly when they don't meet.
+    segment's parameter by each (Liang and Barsky) leaves an interval that is empty exactly when they don't meet. It is done
+    on Arrow batches, as these expressions are too long for compiled code.
     """
-    x1, y1, x2, y2 = (F.col(c) for c in ends)
-    r, s = lattice.radius, lattice.spacing
-    margin = s * 1e-9
-    low, high = F.ceil((F.least(x1, x2) - (r + margin) - lattice.origin_x) / lattice.step), F.floor((F.greatest(x1, x2) + (r + margin) - lattice.origin_x) / lattice.step)
-    columns = df.withColumn("_c", F.explode(F.sequence(low, high)))
-    across = lambda side: F.least(F.greatest(lattice.centre_x(F.col("_c")) + side, F.least(x1, x2)), F.greatest(x1, x2))
-    enters, leaves = (F.when(x1 != x2, y1 + F.try_divide(across(side) - x1, x2 - x1) * (y2 - y1)).otherwise(y) for side, y in ((-r - margin, y1), (r + margin, y2)))
-    middle = F.lit(lattice.origin_y) - F.pmod(F.col("_c"), F.lit(2)) * (s / 2)
-    ranges = columns.withColumns({"_top": F.ceil((middle - F.greatest(enters, leaves) - (s / 2 + margin)) / s), "_bottom": F.floor((middle - F.least(enters, leaves) + (s / 2 + margin)) / s)})
-    pairs = ranges.withColumn("_r", F.explode(F.sequence("_top", "_bottom"))).drop("_top", "_bottom")
-    cx, cy = lattice.centre_x(F.col("_c")), lattice.centre_y(F.col("_r"), F.col("_c"))
-    enter, leave, inside = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
-    for nx, ny in NORMALS:
-        at, by = (x1 - cx) * nx + (y1 - cy) * ny, (x2 - x1) * nx + (y2 - y1) * ny
-        a, b = F.try_divide(F.lit(-s / 2) - at, by), F.try_divide(F.lit(s / 2) - at, by)
-        enter.append(F.when(by != 0, F.least(a, b)).otherwise(0.0))
-        leave.append(F.when(by != 0, F.greatest(a, b)).otherwise(1.0))
-        inside = inside & ((by != 0) | (F.abs(at) <= s / 2))
-    out = pairs.withColumns({"_in": F.greatest(*enter), "_out": F.least(*leave)}).where(inside & (F.col("_in") <= F.col("_out")))
-    return out.withColumns({"cell": cell_id(F.col("_r"), F.col("_c")), "part": (F.col("_out") - F.col("_in")) * F.hypot(x2 - x1, y2 - y1)}).drop("_c", "_r", "_in", "_out")
+    of = _cut_batches(lattice.origin_x, lattice.origin_y, lattice.spacing, lattice.step, lattice.radius, NORMALS, tuple(ends), tuple(df.columns))
+    schema = StructType([*df.schema.fields, StructField("_r", LongType()), StructField("_c", LongType()), StructField("part", DoubleType())])
+    return df.mapInArrow(of, schema).select(*df.columns, cell_id(F.col("_r"), F.col("_c")).alias("cell"), "part")
 
 
 def majority_cell(cut: DataFrame, key: str) -> DataFrame:
