@@ -8,6 +8,9 @@ from . import convex, overlay, validate
 from .lineage import settled
 from .near import nearest
 
+#: Joins of sites are sorted: broadcast, a frame just below the threshold would pass through the driver in each round.
+SORTED = "merge"
+
 #: Neighbours that a cell is first cut by.
 FIRST = 24
 
@@ -20,7 +23,7 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 def _cut(cells: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Cells (id, x, y, cell; corners as seen from the site) cut by the bisectors with their ``neighbours`` (id, tx, ty)."""
     planes = neighbours.groupBy("id").agg(F.collect_list(convex.bisector(F.col("tx"), F.col("ty"))).alias("planes"))
-    return cells.join(planes, "id").select("id", "x", "y", convex.clipped(F.col("cell"), F.col("planes")).alias("cell"))
+    return cells.join(planes.hint(SORTED), "id").select("id", "x", "y", convex.clipped(F.col("cell"), F.col("planes")).alias("cell"))
 
 
 def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: int = FIRST) -> DataFrame:
@@ -33,24 +36,24 @@ def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: in
     the box raise no error, their cells are what the box has of them; of sites at one place only that with the least id
     has a cell.
     """
-    sites = settled(distinct_sites(sites).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    sites = settled(distinct_sites(sites).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).hint(SORTED)
     x0, y0, x1, y1 = (F.lit(float(b)) for b in bounds)
     whole = sites.withColumn("cell", convex.box(x0 - F.col("x"), y0 - F.col("y"), x1 - F.col("x"), y1 - F.col("y")))
     place = sites.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     known = settled(nearest(sites, sites, first, self_join=True).join(place, "r_id").join(sites, F.col("q_id") == F.col("id")).select("id", "d", (F.col("rx") - F.col("x")).alias("tx"), (F.col("ry") - F.col("y")).alias("ty")))
     reach = known.groupBy("id").agg(F.max("d").alias("far"), F.count("*").alias("n"))
     furthest = F.array_max(F.transform("cell", lambda p: F.hypot(p["x"], p["y"])))
-    now = settled(_cut(whole, known).join(reach, "id").withColumn("sure", (F.col("n") < first) | (2 * furthest <= F.col("far"))).drop("far", "n"))
-    alone = whole.join(known.select("id").distinct(), "id", "left_anti").drop("x", "y")
+    now = settled(_cut(whole, known).join(reach.hint(SORTED), "id").withColumn("sure", (F.col("n") < first) | (2 * furthest <= F.col("far"))).drop("far", "n"))
+    alone = whole.join(known.select("id").distinct().hint(SORTED), "id", "left_anti").drop("x", "y")
     done, pending = now.where("sure").select("id", "x", "y", "cell"), now.where("NOT sure").drop("sure")
     margin = 1e-9 * max(abs(float(b)) for b in bounds)
     while pending.take(1):
         corners = pending.select("id", "x", "y", F.posexplode("cell").alias("k", "p")).select(F.struct("id", "k").alias("id"), (F.col("x") + F.col("p.x")).alias("x"), (F.col("y") + F.col("p.y")).alias("y"), F.hypot("p.x", "p.y").alias("own"))
         corners = settled(corners)
-        met = nearest(corners, sites, 1).join(corners.select(F.col("id").alias("q_id"), "own"), "q_id").where(F.col("d") < F.col("own") - margin)
+        met = nearest(corners, sites, 1).join(corners.select(F.col("id").alias("q_id"), "own").hint(SORTED), "q_id").where(F.col("d") < F.col("own") - margin)
         new = met.select(F.col("q_id.id").alias("id"), "r_id").distinct().join(place, "r_id").join(sites, "id").select("id", (F.col("rx") - F.col("x")).alias("tx"), (F.col("ry") - F.col("y")).alias("ty"))
         new = settled(new)
-        done = done.unionByName(pending.join(new.select("id").distinct(), "id", "left_anti"))
+        done = done.unionByName(pending.join(new.select("id").distinct().hint(SORTED), "id", "left_anti"))
         pending = settled(_cut(pending, new))
     placed = done.withColumn("cell", F.transform("cell", lambda p: convex.corner(p["x"] + F.col("x"), p["y"] + F.col("y"))))
     return placed.select("id", "cell").unionByName(alone.join(sites, "id").select("id", F.transform("cell", lambda p: convex.corner(p["x"] + F.col("x"), p["y"] + F.col("y"))).alias("cell")))
