@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import positive
+from .lineage import settled
 from .stats import quantiles
 
 STEPS = ("positivity", "iqr_outliers")
@@ -25,7 +26,11 @@ def within_fence(df: DataFrame, col: str, multiplier: float = 1.5) -> DataFrame:
 
 
 def exclude(df: DataFrame, order: Sequence[str], columns: Sequence[str], fenced: str, multiplier: float = 1.5) -> list[tuple[str, DataFrame]]:
-    """(step, rows after it), from 'loaded' on. The fence is that of the rows which reach its step."""
+    """(step, rows after it), from 'loaded' on. The fence is that of the rows which reach its step.
+
+    Each step and each pass of a fence reads the rows from a checkpoint: what they come from is worked out once.
+    """
+    df = settled(df)
     out = [("loaded", df)]
     for step in order:
         if step not in STEPS:
