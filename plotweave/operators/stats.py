@@ -5,11 +5,11 @@ Only moment matrices of k regressors reach the driver. Everything that has a row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from ..functions.tests import t_p
 from .lineage import settled
@@ -128,13 +128,33 @@ class Fit:
 
 def ols(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:
     """Least squares with a constant, from means and covariances of one aggregation over complete rows."""
+    return ols_all(df, y, {"": xs})[""]
+
+
+def ols_all(df: DataFrame, y: str, specs: Mapping[str, Sequence[str]]) -> dict[str, Fit]:
+    """``ols`` of each specification over the rows that are complete in its own columns; all come out of one aggregation, so the rows are made once."""
+    used = list(dict.fromkeys([y, *(x for xs in specs.values() for x in xs)]))
+    there = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    out = []
+    for s, xs in enumerate(specs.values()):
+        cols, whole = [y, *xs], F.lit(True)
+        for c in cols:
+            whole = whole & there(c)
+        own = lambda c: F.when(whole, F.col(c))  # noqa: E731, B023
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+        out += [F.count_if(whole).alias(f"n_{s}"), *(F.avg(own(c)).alias(f"m{i}_{s}") for i, c in enumerate(cols)), *(F.covar_pop(own(a), own(b)).alias(f"c{k}_{s}") for k, (a, b) in enumerate(pairs))]
+    row = df.select(*(F.col(c).cast("double").alias(c) for c in used)).agg(*out).first()
+    return {name: _fitted(row, s, y, xs) for s, (name, xs) in enumerate(specs.items())}
+
+
+def _fitted(row: Row, s: int, y: str, xs: Sequence[str]) -> Fit:
+    """The fit of specification ``s`` from its means and covariances."""
     cols = [y, *xs]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).na.drop().agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.covar_pop(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs))).first()
-    n, means = row["n"], np.array([row[f"m{i}"] for i in range(len(cols))])
+    n, means = row[f"n_{s}"], np.array([row[f"m{i}_{s}"] for i in range(len(cols))])
     cov = np.zeros((len(cols),) * 2)
     for k, (a, b) in enumerate(pairs):
-        cov[cols.index(a), cols.index(b)] = cov[cols.index(b), cols.index(a)] = row[f"c{k}"]
+        cov[cols.index(a), cols.index(b)] = cov[cols.index(b), cols.index(a)] = row[f"c{k}_{s}"]
     b = np.linalg.solve(cov[1:, 1:], cov[1:, 0]) if xs else np.zeros(0)
     const = means[0] - b @ means[1:]
     sst = cov[0, 0] * n

@@ -72,10 +72,8 @@ _SPECS = {"a": ["x1"], "b": ["x2"], "c": ["x1", "x2"]}
 
 @query(f"{BASE}, c AS (SELECT covar_samp(v, x1) AS cy1, covar_samp(v, x2) AS cy2, var_samp(x1) AS c11, var_samp(x2) AS c22, covar_samp(x1, x2) AS c12, var_samp(v) AS cyy, count(*) AS n FROM sample) SELECT 'a' AS spec, n, round(cy1 * cy1 / c11 / cyy, 6) AS r2 FROM c UNION ALL SELECT 'b', n, round(cy2 * cy2 / c22 / cyy, 6) FROM c UNION ALL SELECT 'c', n, round(((cy1 * c22 - cy2 * c12) * cy1 + (cy2 * c11 - cy1 * c12) * cy2) / (c11 * c22 - c12 * c12) / cyy, 6) FROM c")
 def control_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sample(spark, sf_dir)
     out = None
-    for name, xs in _SPECS.items():
-        f = stats.ols(d, "v", xs)
+    for name, f in stats.ols_all(sample(spark, sf_dir), "v", _SPECS).items():
         one = one_row(spark, {"n": f.n, "r2": f.r2}).withColumn("spec", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
