@@ -51,6 +51,12 @@ class Moments:
         """Regressors with ``lags`` lags: x, and Wy in lag models."""
         return np.hstack([self.x(lags), self.y(lags + 1)]) if lagged else self.x(lags)
 
+    def part(self, xs: Sequence[int]) -> Moments:
+        """The moments with the constant and these of the regressors (from 0) alone."""
+        own = [0, *(x + 1 for x in xs)]
+        at = np.ix_(*[[lag * self.k + i for lag in range(3) for i in own] + [3 * self.k + i for i in range(4)]] * 2)
+        return Moments(len(own), self.n, self.gram[at], self.diag[at])
+
     def instruments(self) -> np.ndarray:
         """x, Wx and WWx without what depends on columns before it, as the lag of a constant does under row standardisation."""
         every, keep = np.hstack([self.x(0), self.x(1), self.x(2)]), np.zeros((len(self.gram), 0))
@@ -83,7 +89,7 @@ def lagged(rows: DataFrame, links: DataFrame, y: str, xs: Sequence[str]) -> Data
     return settled(out.select("job", "id", *(F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(3 * k + 4)), F.coalesce("d", F.lit(0.0)).alias("d")))
 
 
-def _products(df: DataFrame, columns: Sequence[str], weights: dict[str, F.Column]) -> dict[str, tuple[int, dict[str, np.ndarray]]]:
+def products(df: DataFrame, columns: Sequence[str], weights: dict[str, F.Column]) -> dict[str, tuple[int, dict[str, np.ndarray]]]:
     """For each job its rows, and for each weight the matrix of weighted sums of products."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     sums = [F.sum(w * F.col(a) * F.col(b)).alias(f"{name}_{k}") for name, w in weights.items() for k, (a, b) in enumerate(pairs)]
@@ -98,7 +104,7 @@ def _products(df: DataFrame, columns: Sequence[str], weights: dict[str, F.Column
 
 def moments(table: DataFrame, k: int) -> dict[str, Moments]:
     columns = [f"c{i}" for i in range(3 * k + 4)]
-    return {job: Moments(k, n, m["gram"], m["diag"]) for job, (n, m) in _products(table, columns, {"gram": F.lit(1.0), "diag": F.col("d")}).items()}
+    return {job: Moments(k, n, m["gram"], m["diag"]) for job, (n, m) in products(table, columns, {"gram": F.lit(1.0), "diag": F.col("d")}).items()}
 
 
 def common_pairs(links: DataFrame) -> DataFrame:
@@ -222,7 +228,7 @@ def _evaluate(fits: dict[str, Fit], table: DataFrame, pairs: DataFrame | None) -
     innovations = spark.createDataFrame([(job, [float(v) for v in f.innovation()]) for job, f in fits.items()], "job string, at array<double>")
     e = sum((F.col("at")[k] * F.col(c) for k, c in enumerate(columns)), F.lit(0.0))
     rows = table.join(F.broadcast(innovations), "job").withColumn("s2", e * e)
-    squares = _products(rows, columns, {"s": F.col("s2")})
+    squares = products(rows, columns, {"s": F.col("s2")})
     error = {job for job, f in fits.items() if f.is_error}
     traces = _traces(pairs, rows.where(F.col("job").isin(*error)).select("job", "id", "s2")) if error else {}
     return {job: _weighted(f, squares[job][1]["s"], traces.get(job)) for job, f in fits.items()}
