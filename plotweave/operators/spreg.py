@@ -71,21 +71,32 @@ class Moments:
 
 
 def lagged(rows: DataFrame, links: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
-    """job, id, c0, c1, ...: the columns that ``Moments`` names; and d, the diagonal of W'W. A row without neighbours has lags of 0."""
-    key = ["job"] if "job" in links.columns else []
+    """job, id, c0, c1, ...: the columns that ``Moments`` names; and d, the diagonal of W'W. A row without neighbours has lags of 0.
+
+    Links without a job serve all jobs: an id's values of all jobs stand in one row then, and each link is met once a step.
+    """
     k = len(xs) + 1
     first = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
-    base = rows.select("job", "id", *(c.alias(f"c{i}") for i, c in enumerate(first)), F.col(y).cast("double").alias(f"c{3 * k}"))
-    out = now = settled(base)
+    base = settled(rows.select("job", "id", *(c.alias(f"c{i}") for i, c in enumerate(first)), F.col(y).cast("double").alias(f"c{3 * k}")))
+    shared = "job" not in links.columns
+    names = sorted(r[0] for r in base.select("job").distinct().collect()) if shared else []
+    key, tags = ([], [f"_{n}" for n in range(len(names))]) if shared else (["job"], [""])
+    if shared:
+        own = lambda c, name: F.max(F.when(F.col("job") == name, F.col(c)))
+        base = settled(base.groupBy("id").agg(*(own(f"c{i}", name).alias(f"c{i}{tag}") for i in (*range(k), 3 * k) for tag, name in zip(tags, names))))
+    out = now = base
     for step in (1, 2, 3):
         xcols = [f"c{(step - 1) * k + i}" for i in range(k)] if step < 3 else []
         cols = [*xcols, f"c{3 * k + step - 1}"]
         to = [f"c{step * k + i}" for i in range(len(xcols))] + [f"c{3 * k + step}"]
-        met = links.join(now.select("job", F.col("id").alias("j"), *cols), [*key, "j"])
-        now = settled(met.groupBy("job", F.col("i").alias("id")).agg(*(F.sum(F.col("w") * F.col(c)).alias(t) for c, t in zip(cols, to))))
-        out = out.join(now, ["job", "id"], "left")
+        met = links.join(now.select(*key, F.col("id").alias("j"), *(f"{c}{tag}" for c in cols for tag in tags)), [*key, "j"])
+        now = settled(met.groupBy(*key, F.col("i").alias("id")).agg(*(F.sum(F.col("w") * F.col(f"{c}{tag}")).alias(f"{t}{tag}") for c, t in zip(cols, to) for tag in tags)))
+        out = out.join(now, [*key, "id"], "left")
     diag = links.groupBy(*key, F.col("j").alias("id")).agg(F.sum(F.col("w") * F.col("w")).alias("d"))
     out = out.join(diag, [*key, "id"], "left")
+    if shared:
+        each = (F.struct(F.lit(name).alias("job"), *(F.col(f"c{i}{tag}").alias(f"c{i}") for i in range(3 * k + 4))) for tag, name in zip(tags, names))
+        out = out.select("id", "d", F.inline(F.array(*each))).where("c0 IS NOT NULL") if names else rows.sparkSession.createDataFrame([], f"job string, id {dict(base.dtypes)['id']}, d double, " + ", ".join(f"c{i} double" for i in range(3 * k + 4)))
     return settled(out.select("job", "id", *(F.coalesce(f"c{i}", F.lit(0.0)).alias(f"c{i}") for i in range(3 * k + 4)), F.coalesce("d", F.lit(0.0)).alias("d")))
 
 
@@ -122,14 +133,29 @@ def common_pairs(links: DataFrame) -> DataFrame:
 
 def _traces(pairs: DataFrame, squares: DataFrame) -> dict[str, np.ndarray]:
     """For each job the traces of B_r S B_s S, with B_1 = 2 (W'W less its diagonal), B_2 = W + W' and S the squared residuals (job, id, s2)."""
-    key = ["job"] if "job" in pairs.columns else []
+    if "job" not in pairs.columns:
+        return _shared_traces(pairs, squares)
     of = lambda c, s: squares.select("job", F.col("id").alias(c), F.col("s2").alias(s))
-    met = pairs.join(of("j", "sj"), [*key, "j"]).join(of("k", "sk"), ["job", "k"])
+    met = pairs.join(of("j", "sj"), ["job", "j"]).join(of("k", "sk"), ["job", "k"])
     both = F.when(F.col("j") == F.col("k"), 1.0).otherwise(2.0) * F.col("sj") * F.col("sk")
     sums = met.groupBy("job").agg(F.sum(4 * F.col("c") * F.col("c") * both).alias("a"), F.sum(2 * F.col("c") * F.col("s") * both).alias("b"), F.sum(F.col("s") * F.col("s") * both).alias("d"))
     return {r["job"]: np.array([[r["a"], r["b"]], [r["b"], r["d"]]]) for r in sums.collect()}
 
 
+def _shared_traces(pairs: DataFrame, squares: DataFrame) -> dict[str, np.ndarray]:
+    """``_traces`` of jobs on the same links: each pair is met once, with its squares of all jobs beside each other."""
+    names = sorted(r[0] for r in squares.select("job").distinct().collect())
+    if not names:
+        return {}
+    wide = settled(squares.groupBy("id").agg(*(F.max(F.when(F.col("job") == name, F.col("s2"))).alias(f"s{n}") for n, name in enumerate(names))))
+    of = lambda c: wide.select(F.col("id").alias(c), *(F.col(f"s{n}").alias(f"{c}{n}") for n in range(len(names))))
+    met = pairs.join(of("j"), "j").join(of("k"), "k")
+    twice = F.when(F.col("j") == F.col("k"), 1.0).otherwise(2.0)
+    both = [twice * F.col(f"j{n}") * F.col(f"k{n}") for n in range(len(names))]
+    sums = met.agg(*(F.sum(v).alias(f"{c}{n}") for n, w in enumerate(both) for c, v in (("a", 4 * F.col("c") * F.col("c") * w), ("b", 2 * F.col("c") * F.col("s") * w), ("d", F.col("s") * F.col("s") * w)))).first()
+    return {name: np.array([[sums[f"a{n}"], sums[f"b{n}"]], [sums[f"b{n}"], sums[f"d{n}"]]]) for n, name in enumerate(names) if sums[f"a{n}"] is not None}
+
+
 def two_stage(m: Moments, y: np.ndarray, z: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Coefficients of z on y with the instruments h."""
     hz, hy = h.T @ m.gram @ z, h.T @ m.gram @ y
