@@ -23,10 +23,10 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 def _cut(cells: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Cells (id, x, y, cell; corners as seen from the site) cut by the bisectors with their ``neighbours`` (id, tx, ty)."""
     planes = neighbours.groupBy("id").agg(F.collect_list(convex.bisector(F.col("tx"), F.col("ty"))).alias("planes"))
-    return cells.join(planes.hint(SORTED), "id").select("id", "x", "y", convex.clipped(F.col("cell"), F.col("planes")).alias("cell"))
+    return convex.cut(cells.join(planes.hint(SORTED), "id").select("id", "x", "y", "cell", "planes"), "cell", "planes")
 
 
-def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: int = FIRST) -> DataFrame:
+def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: int = FIRST, shapes: DataFrame | None = None) -> DataFrame:
     """id and cell: what of the box (x0, y0, x1, y1) is nearer to the site than to any other, as corners counter-clockwise.
 
     A cell is cut by its ``first`` nearest neighbours. Whatever lies further than twice its furthest corner can't cut it,
@@ -34,15 +34,19 @@ def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: in
     cell's own, the cell is cut by it and asks again; where none is, the cell is final, as a site that cuts a convex cell
     is nearer to one of its corners. A cell's work grows with its sides, however uneven the density is. Sites outside of
     the box raise no error, their cells are what the box has of them; of sites at one place only that with the least id
-    has a cell.
+    has a cell. With ``shapes`` (id, shape; convex) a site gets what of its cell is in its shape, which ends the sooner.
     """
     sites = settled(distinct_sites(sites).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).hint(SORTED)
     x0, y0, x1, y1 = (F.lit(float(b)) for b in bounds)
     whole = sites.withColumn("cell", convex.box(x0 - F.col("x"), y0 - F.col("y"), x1 - F.col("x"), y1 - F.col("y")))
+    if shapes is not None:
+        moved = F.transform("shape", lambda p: convex.corner(p["x"] - F.col("x"), p["y"] - F.col("y")))
+        whole = whole.join(shapes.hint(SORTED), "id").select("id", "x", "y", moved.alias("cell"), convex.half_planes(F.col("cell")).alias("planes"))
+        whole = settled(convex.cut(whole, "cell", "planes")).hint(SORTED)
     place = sites.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     known = settled(nearest(sites, sites, first, self_join=True).join(place, "r_id").join(sites, F.col("q_id") == F.col("id")).select("id", "d", (F.col("rx") - F.col("x")).alias("tx"), (F.col("ry") - F.col("y")).alias("ty")))
     reach = known.groupBy("id").agg(F.max("d").alias("far"), F.count("*").alias("n"))
-    furthest = F.array_max(F.transform("cell", lambda p: F.hypot(p["x"], p["y"])))
+    furthest = F.coalesce(F.array_max(F.transform("cell", lambda p: F.hypot(p["x"], p["y"]))), F.lit(0.0))
     now = settled(_cut(whole, known).join(reach.hint(SORTED), "id").withColumn("sure", (F.col("n") < first) | (2 * furthest <= F.col("far"))).drop("far", "n"))
     alone = whole.join(known.select("id").distinct().hint(SORTED), "id", "left_anti").drop("x", "y")
     done, pending = now.where("sure").select("id", "x", "y", "cell"), now.where("NOT sure").drop("sure")
@@ -65,22 +69,27 @@ def owned_parts(seg: DataFrame, points: DataFrame, bounds: tuple[float, float, f
     Cells and buffers are convex, so parts are, too, and parts don't overlap: the areas of a segment's parts add up.
     """
     shape = seg.select("seg", convex.capsule(*map(F.col, ("x1", "y1", "x2", "y2")), width, quarter).alias("buffer"))
-    parts = cells(points.select("id", "x", "y"), bounds).join(points.select("id", "seg"), "id").join(shape, "seg")
-    parts = parts.withColumn("planes", convex.half_planes(F.col("buffer")))
-    return parts.select("seg", "id", convex.clipped(F.col("cell"), F.col("planes")).alias("part")).where(F.size("part") > 2)
+    shapes = points.select("id", "seg").join(shape, "seg").select("id", F.col("buffer").alias("shape"))
+    parts = cells(points.select("id", "x", "y"), bounds, shapes=shapes).join(points.select("id", "seg"), "id")
+    return parts.select("seg", "id", F.col("cell").alias("part")).where(F.size("part") > 2)
 
 
 def owned_areas(seg: DataFrame, bounds: tuple[float, float, float, float], width: float, roads: DataFrame | None = None, step: float = 5.0, least: float = 10.0, quarter: int = 8) -> DataFrame:
     """seg and area of every segment (seg, x1, y1, x2, y2): of what is at most ``width`` from it the part that is nearest to its own points, without the ``roads`` (poly, edges).
 
     Points are set each ``step`` along the segments and thinned, the first of a square metre staying; areas below ``least``
-    are 0, as are those of segments that have lost all their points.
+    are 0, as are those of segments that have lost all their points. Where all roads are convex, each part is cut by the roads
+    that it meets; only others call for an overlay of all edges.
     """
     points = validate.thinned_samples(seg.withColumnRenamed("seg", "id"), step)
     points = settled(points.select(F.struct("id", "enum").alias("id"), F.col("id").alias("seg"), "x", "y"))
     parts = settled(owned_parts(seg, points, bounds, width, quarter))
+    roads = roads if roads is None else settled(roads.select("poly", "edges"))
     if roads is None:
         found = parts.groupBy("seg").agg(F.sum(convex.area(F.col("part"))).alias("area"))
+    elif not roads.where(~convex.is_convex(F.col("edges"))).take(1):
+        left = convex.uncovered(parts.select(F.col("id").alias("name"), "part"), roads)
+        found = left.groupBy(F.col("name.id").alias("seg")).agg(F.sum("area").alias("area"))
     else:
         own = parts.select(F.lit("own").alias("layer"), F.concat_ws(":", F.col("id.id").cast("string"), F.col("id.enum").cast("string")).alias("poly"), convex.edges(F.col("part")).alias("edges"))
         road = roads.select(F.lit("road").alias("layer"), F.col("poly").cast("string").alias("poly"), "edges")

@@ -101,6 +101,7 @@ WIDTHS = {"0": 12.0, "1": 8.0}
 def segment_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lane from each supplier: the area within 150 that no other lane is nearer to, without the lanes' own surface."""
     lanes = suppliers(spark, sf_dir).selectExpr("id AS seg", "id % 3 AS kind", "x AS x1", "y AS y1", "x + id % 11 * 40 - 200 AS x2", "y + id % 13 * 30 - 180 AS y2")
+    lanes = lanes.repartition(overlay._tasks(lanes))  # a small file is one task, and its capsules are many
     half = variants.width_of(F.col("kind").cast("string"), WIDTHS) / 2
     roads = lanes.select(F.col("seg").alias("poly"), convex.edges(convex.capsule(*map(F.col, ("x1", "y1", "x2", "y2")), half)).alias("edges"))
     return voronoi.owned_areas(lanes.drop("kind"), (-500.0, -500.0, EXTENT + 500, EXTENT + 500), 150.0, roads, step=50.0).select("seg", F.round("area", 2).alias("area"))
