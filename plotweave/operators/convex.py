@@ -129,38 +129,6 @@ def _half(x, y, p, d, next_):
     return both(x), both(y), np.repeat(p, 2)[keep]
 
 
-def cut(frame: DataFrame, polygon: str, planes: str) -> DataFrame:
-    """``frame`` with ``polygon`` as ``clipped`` by ``planes`` gives it, all polygons of an Arrow batch at once, and without ``planes``."""
-    from pyspark.sql.types import StructType
-
-    own = frame.withColumn(polygon, F.coalesce(F.col(polygon).cast(CORNERS), F.array().cast(CORNERS))).withColumn(planes, F.coalesce(F.col(planes).cast("array<struct<a:double,b:double,c:double>>"), F.array().cast("array<struct<a:double,b:double,c:double>>")))
-    names = [c for c in own.columns if c != planes]
-
-    def run(batches):
-        import pyarrow as pa
-
-        def ragged(column, fields):
-            flat = column.flatten()
-            return np.asarray(column.value_lengths()).astype(int), *(np.asarray(flat.field(f)) for f in fields)
-
-        for batch in batches:
-            n, x, y = ragged(batch.column(polygon), "xy")
-            m, *abc = ragged(batch.column(planes), "abc")
-            p, begin = np.repeat(np.arange(len(n)), n), np.cumsum(m) - m
-            for k in range(m.max(initial=0)):
-                use = m[p] > k
-                at = begin[p[use]] + k
-                d = np.full(len(p), -1.0)
-                d[use] = abc[0][at] * x[use] + abc[1][at] * y[use] - abc[2][at]
-                if (d > 0).any():
-                    x, y, p = _half(x, y, p, d, _pieces(x, y, p)[2])
-            offsets = np.r_[0, np.cumsum(np.bincount(p, minlength=len(n)))].astype(np.int32)
-            left = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
-            yield pa.RecordBatch.from_arrays([left if c == polygon else batch.column(c) for c in names], names)
-
-    return own.mapInArrow(run, StructType([own.schema[c] for c in names]))
-
-
 def _sized(x, y, p):
     """The pieces without those that have no area, and the areas of the rest."""
     first, n, next_ = _pieces(x, y, p)

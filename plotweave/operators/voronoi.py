@@ -23,7 +23,7 @@ def distinct_sites(sites: DataFrame) -> DataFrame:
 def _cut(cells: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Cells (id, x, y, cell; corners as seen from the site) cut by the bisectors with their ``neighbours`` (id, tx, ty)."""
     planes = neighbours.groupBy("id").agg(F.collect_list(convex.bisector(F.col("tx"), F.col("ty"))).alias("planes"))
-    return convex.cut(cells.join(planes.hint(SORTED), "id").select("id", "x", "y", "cell", "planes"), "cell", "planes")
+    return cells.join(planes.hint(SORTED), "id").select("id", "x", "y", convex.clipped(F.col("cell"), F.col("planes")).alias("cell"))
 
 
 def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: int = FIRST, shapes: DataFrame | None = None) -> DataFrame:
@@ -41,8 +41,7 @@ def cells(sites: DataFrame, bounds: tuple[float, float, float, float], first: in
     whole = sites.withColumn("cell", convex.box(x0 - F.col("x"), y0 - F.col("y"), x1 - F.col("x"), y1 - F.col("y")))
     if shapes is not None:
         moved = F.transform("shape", lambda p: convex.corner(p["x"] - F.col("x"), p["y"] - F.col("y")))
-        whole = whole.join(shapes.hint(SORTED), "id").select("id", "x", "y", moved.alias("cell"), convex.half_planes(F.col("cell")).alias("planes"))
-        whole = settled(convex.cut(whole, "cell", "planes")).hint(SORTED)
+        whole = whole.join(shapes.hint(SORTED), "id").withColumn("cell", convex.clipped(moved, convex.half_planes(F.col("cell")))).drop("shape")
     place = sites.select(F.col("id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     known = settled(nearest(sites, sites, first, self_join=True).join(place, "r_id").join(sites, F.col("q_id") == F.col("id")).select("id", "d", (F.col("rx") - F.col("x")).alias("tx"), (F.col("ry") - F.col("y")).alias("ty")))
     reach = known.groupBy("id").agg(F.max("d").alias("far"), F.count("*").alias("n"))
